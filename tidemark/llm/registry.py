@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.llm.sharding import op5_hilbert_shards
+from tidemark.llm.token_counts import op10_token_counts
 from tidemark.llm.topk_search import OP1_SQL, op1_topk_search
 
-QUERIES = {"op1_topk_search": op1_topk_search}
+QUERIES = {
+    "op1_topk_search": op1_topk_search,
+    "op5_hilbert_shards": op5_hilbert_shards,
+    "op10_token_counts": op10_token_counts,
+}
 ORACLES = {"op1_topk_search": OP1_SQL}
