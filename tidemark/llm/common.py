@@ -41,23 +41,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, y) for labelled rows outside the held-out fold. Repeated label rows of a doc_id count as their maximum."""
-    ys = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
-    ys = ys.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(ys, "doc_id")
-
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, chars: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """A bounded sample of labelled rows for a fit on the driver, and the number of learnable labels of each class.
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, chars: int) -> list[tuple[str, int]]:
-    """At most rows_per_class rows of each class, picked by a hash of the id, for the driver-side fit.
-
-    The bound is a documented parameter and the only place where rows or texts are cut: texts of the *training sample*
-    are cut at `chars` characters so that the sample's size has a proven bound; scoring always reads whole texts.
+    At most rows_per_class ids of each class, the first by a hash of the id, never of the held-out fold; repeated labels
+    of an id count as their maximum, null and other labels not at all. Sample texts are cut at `chars` characters: both
+    bounds are documented parameters of the fit. Scoring, and everything else, takes all rows and whole texts.
     """
-    rows = labelled(docs, labels, label)
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
-    ids = [rows.where(F.col("y") == y).select("doc_id", F.substring("text", 1, chars).alias("text"), "y").orderBy(*order).limit(rows_per_class) for y in (0, 1)]
-    return [(r.text, r.y) for part in ids for r in part.toLocalIterator()]
+    ys = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
+    ys = ys.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    counts = {r.y: r["count"] for r in ys.groupBy("y").count().collect()}
+    picked = [ys.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for y in (0, 1)]
+    ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * rows_per_class rows
+    text = F.substring("text", 1, chars).alias("text")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", text).join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    return [(r.text, r.y) for r in rows.orderBy("doc_id").toLocalIterator()], counts
+
+
+def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights and bias of a ridge logistic regression of y on the columns of z, by Newton steps."""
+    x = np.column_stack([z, np.ones(len(z))])
+    w = np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], ridge * weight.sum())
+    penalty[-1] = 1e-9 * weight.sum()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(h, x.T @ (weight * (p - y)) + penalty * w)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
 # ---------------------------------------------------------------- text kernels (numpy on Arrow buffers)

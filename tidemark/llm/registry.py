@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from tidemark.llm.quality import op2_quality
 from tidemark.llm.sharding import op5_hilbert_shards
 from tidemark.llm.token_counts import op10_token_counts
+from tidemark.llm.toxicity import op6_toxicity
 from tidemark.llm.topk_search import OP1_SQL, op1_topk_search
 
 QUERIES = {
     "op1_topk_search": op1_topk_search,
+    "op2_quality": op2_quality,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_toxicity": op6_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES = {"op1_topk_search": OP1_SQL}
