@@ -7,10 +7,12 @@ from tidemark.llm.sharding import op5_hilbert_shards
 from tidemark.llm.token_counts import op10_token_counts
 from tidemark.llm.toxicity import op6_toxicity
 from tidemark.llm.topk_search import OP1_SQL, op1_topk_search
+from tidemark.llm.url_filter import op3_url_filter
 
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_quality": op2_quality,
+    "op3_url_filter": op3_url_filter,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_toxicity": op6_toxicity,
     "op10_token_counts": op10_token_counts,
