@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontamination import op7_decontamination
 from tidemark.llm.quality import op2_quality
 from tidemark.llm.sharding import op5_hilbert_shards
 from tidemark.llm.token_counts import op10_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES = {"op1_topk_search": OP1_SQL}
