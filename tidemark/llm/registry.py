@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.decontamination import op7_decontamination
+from tidemark.llm.mixing import OP9_SQL, op9_mixing
 from tidemark.llm.quality import op2_quality
 from tidemark.llm.sharding import op5_hilbert_shards
 from tidemark.llm.token_counts import op10_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
+    "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op1_topk_search": OP1_SQL}
+ORACLES = {"op1_topk_search": OP1_SQL, "op9_mixing": OP9_SQL}
