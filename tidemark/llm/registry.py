@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.decontamination import op7_decontamination
+from tidemark.llm.jaccard_join import OP8_SQL, op8_jaccard_join
 from tidemark.llm.mixing import OP9_SQL, op9_mixing
 from tidemark.llm.quality import op2_quality
 from tidemark.llm.sharding import op5_hilbert_shards
@@ -18,7 +19,8 @@ QUERIES = {
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op1_topk_search": OP1_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op1_topk_search": OP1_SQL, "op8_jaccard_join": OP8_SQL, "op9_mixing": OP9_SQL}
