@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.decontamination import op7_decontamination
 from tidemark.llm.jaccard_join import OP8_SQL, op8_jaccard_join
+from tidemark.llm.line_dedup import op4_line_dedup
 from tidemark.llm.mixing import OP9_SQL, op9_mixing
 from tidemark.llm.quality import op2_quality
 from tidemark.llm.sharding import op5_hilbert_shards
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
+    "op4_line_dedup": op4_line_dedup,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
