@@ -9,8 +9,11 @@ prefixes are long the frequent tokens are indexed one by one, by classes of set
 larger set, so both sides of a link always index alike. What the sketch calls frequent changes the cost, never the result.
 
 Links are found without listing the pairs of a group. Equal sets are one class from the start. In the first round each
-class is compared with one leader of every index entry it is in, and verified links give components. In the second round
-only classes of one entry that are still in different components are compared. So the components are exact: every pair
+class is compared with the leader of every index entry it is in, the one with the fewest tokens before the entry's (of
+edited copies, the one with the fewest edits), and verified links give components. In the second round
+only classes of one entry that are still in different components are compared. Before sets are compared, two exact
+bounds drop what can be no link: the place of the entry in each side's order bounds what both share, and differing
+bucket parities of the two sets bound their symmetric difference. So the components are exact: every pair
 that can be a link was verified, or is connected already.
 
 Defined results: texts that are null, empty or without words have an empty set and are linked with nothing; null ids
@@ -35,6 +38,7 @@ SKETCH_BITS, CHUNK_BITS = 24, 18
 #: Longest extended prefix whose frequent tokens are indexed in pairs.
 PAIR_PREFIX = 24
 _K = 2
+_BITS = tuple(f"s{i}" for i in range(8))
 
 
 def set_key(s: np.ndarray) -> int:
@@ -43,15 +47,23 @@ def set_key(s: np.ndarray) -> int:
         return int(mix64((s * mix64(s)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s)))[0].astype(np.int64))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """512 bits: of each bucket the parity of how many of the set's shingles fall into it."""
+    odd = np.bincount((s >> np.uint64(8) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def set_classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, sid): each row's set size and the key of its class, null for empty sets."""
+    """(doc_id, n_shingles, sid, s0..s7): each row's set size, the key of its class (null for empty sets), and the class's parities."""
+    schema = ", ".join(["doc_id long, n_shingles long, sid long", *(f"{c} long" for c in _BITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), set_key(s) if len(s) else None) for s in row_shingles(batch, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], ["doc_id", "n_shingles", "sid"])
+            sets = [(len(s), set_key(s) if len(s) else None, parities(s)) for s in row_shingles(batch, n)]
+            bits = np.stack([x[2] for x in sets]) if sets else np.zeros((0, 8), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["doc_id", "n_shingles", "sid", *_BITS])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def frequency_levels(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -91,19 +103,24 @@ def frequency_levels(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.nd
     return out
 
 
-def index_keys(s: np.ndarray, levels: np.ndarray, bits: int, num: int, den: int, pair_prefix: int = PAIR_PREFIX) -> np.ndarray:
-    """The index entries of a set: rare prefix tokens, and frequent ones in pairs or alone, by size class."""
+def index_keys(s: np.ndarray, levels: np.ndarray, bits: int, num: int, den: int, pair_prefix: int = PAIR_PREFIX) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, room) of a set: rare prefix tokens, and frequent ones in pairs or alone, by size class.
+
+    room: the most the set can share with another whose first shared tokens in the global order are those of the entry.
+    """
     n = len(s)
     prefix = min(n, n - (num * n + den - 1) // den + _K)
     level = levels[(s >> np.uint64(64 - bits)).astype(np.int64)]
     rare = s[level == 0]
+    room = n - np.arange(prefix)
     if len(rare) >= prefix:
-        return rare[:prefix]  # s is sorted by hash
+        return rare[:prefix], room  # s is sorted by hash
     often = np.flatnonzero(level)
     often = s[often[np.lexsort((s[often], level[often]))][: prefix - len(rare)]]
+    late = room[len(rare) :]
     base = np.log(den / num) * 1.001
     b = int(np.log(n) / base)
-    out = [rare]
+    out, rooms = [rare], [room[: len(rare)]]
     for label in (b, b + 1):  # the class of the larger set of a pair is this one's or the next
         longest = np.exp((label + 1) * base)
         salt = mix64(np.array([label + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
@@ -111,39 +128,43 @@ def index_keys(s: np.ndarray, levels: np.ndarray, bits: int, num: int, den: int,
             i, j = np.triu_indices(len(often), 1)
             low, high = np.minimum(often[i], often[j]), np.maximum(often[i], often[j])
             out.append(mix64(low * np.uint64(0xE7037ED1A0B428DB) + mix64(high) + salt))
+            rooms.append(np.minimum(late[i], late[j] + 1))
         else:
             out.append(mix64(often + salt))
-    return np.concatenate(out)
+            rooms.append(late)
+    return np.concatenate(out), np.concatenate(rooms)
 
 
 def postings(texts: DataFrame, n: int, num: int, den: int, levels: np.ndarray, bits: int, pair_prefix: int) -> DataFrame:
-    """(key, sid, size) for every index entry of every class."""
+    """(key, sid, size, room) for every index entry of every class."""
     shared = texts.sparkSession.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(zlib.decompress(shared.value), np.uint8)
         for batch in batches:
             sids = np.asarray(batch["sid"])
-            keys, ids, sizes, held = [], [], [], 0
+            keys, rooms, ids, sizes, held = [], [], [], [], 0
 
             def flush() -> pa.RecordBatch:
                 counts = [len(k) for k in keys]
-                return pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "sid": np.repeat(np.array(ids, np.int64), counts), "size": np.repeat(np.array(sizes, np.int32), counts)})
+                return pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "sid": np.repeat(np.array(ids, np.int64), counts), "size": np.repeat(np.array(sizes, np.int32), counts), "room": np.concatenate(rooms).astype(np.int32)})
 
             for sid, s in zip(sids, row_shingles(batch, n)):
                 if not len(s) or set_key(s) != sid:  # another text of a repeated id
                     continue
-                keys.append(index_keys(s, levels, bits, num, den, pair_prefix))
+                entries, room = index_keys(s, levels, bits, num, den, pair_prefix)
+                keys.append(entries)
+                rooms.append(room)
                 ids.append(sid)
                 sizes.append(len(s))
-                held += len(keys[-1])
+                held += len(entries)
                 if held > 1 << 17:
                     yield flush()
-                    keys, ids, sizes, held = [], [], [], 0
+                    keys, rooms, ids, sizes, held = [], [], [], [], 0
             if keys:
                 yield flush()
 
-    return texts.mapInArrow(run, "key long, sid long, size int")
+    return texts.mapInArrow(run, "key long, sid long, size int, room int")
 
 
 def _member_bits(edges: DataFrame, bits: int = 22) -> np.ndarray:
@@ -184,30 +205,43 @@ def verified(edges: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return full.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _near_sizes(x: Column, y: Column, num: int, den: int) -> Column:
-    return F.least(x, y).cast("long") * den >= F.greatest(x, y).cast("long") * num
+def _can_link(x: str, y: str, num: int, den: int) -> Column:
+    """What a link needs, by sizes, and by what either side can still share after the entry's tokens."""
+    a, b = F.col(f"{x}.size").cast("long"), F.col(f"{y}.size").cast("long")
+    return (F.least(a, b) * den >= F.greatest(a, b) * num) & (F.least(f"{x}.room", f"{y}.room").cast("long") * (num + den) >= (a + b) * num)
+
+
+def _parity_close(x: str, y: str, num: int, den: int) -> Column:
+    """No more odd buckets differ than the sets of a link may differ in: differing parities bound the symmetric difference from below."""
+    odd = F.lit(0)
+    for c in _BITS:
+        odd = odd + F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
+    both = F.col(f"{x}.size").cast("long") + F.col(f"{y}.size").cast("long")
+    return odd * (num + den) <= both * (den - num)
 
 
 def class_components(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int, bits: int = SKETCH_BITS, pair_prefix: int = PAIR_PREFIX) -> DataFrame:
     """(sid, component) of the classes that are linked with another; the component is a class key."""
     shared_dir(docs.sparkSession)
-    first = classes.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    known = classes.where(F.col("sid").isNotNull())
+    first = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    signed = stored(known.groupBy("sid").agg(F.max("n_shingles").cast("int").alias("size"), *[F.max(c).alias(c) for c in _BITS]))
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(first.where(F.col("doc_id").isNotNull()), "doc_id").select("sid", "text"))
     levels = frequency_levels(texts, n, bits)
     entry = Window.partitionBy("key")
-    found = postings(texts, n, num, den, levels, bits, pair_prefix).withColumn("leader", F.min(F.struct("sid", "size")).over(entry)).withColumn("last", F.max("sid").over(entry))
-    found = stored(found.where(F.col("last") != F.col("leader.sid")).select("key", "sid", "size", "leader"))
-    pairs = found.where((F.col("sid") != F.col("leader.sid")) & _near_sizes(F.col("size"), F.col("leader.size"), num, den))
-    tried = stored(pairs.select(F.col("leader.sid").alias("a"), F.col("sid").alias("b")).distinct())
+    found = postings(texts, n, num, den, levels, bits, pair_prefix).withColumn("leader", F.min(F.struct((F.col("size") - F.col("room")).alias("lead"), "sid", "size", "room")).over(entry)).withColumn("low", F.min("sid").over(entry)).withColumn("high", F.max("sid").over(entry))
+    found = stored(found.where("low != high").select("key", "sid", "size", "room", "leader"))
+    pairs = found.alias("x").where((F.col("sid") != F.col("leader.sid")) & _can_link("x", "leader", num, den)).select(F.least("sid", "leader.sid").alias("a"), F.greatest("sid", "leader.sid").alias("b")).distinct()
+    pairs = pairs.join(signed.alias("x"), F.col("a") == F.col("x.sid")).join(signed.alias("y"), (F.col("b") == F.col("y.sid")) & _parity_close("x", "y", num, den)).select("a", "b")
+    tried = stored(pairs)
     links = stored(verified(tried, texts, n, num, den))
     first_round = stored(components(links))
     # what one entry holds of different components is compared pair by pair, unless it was
     left = found.join(first_round.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    left = left.withColumn("low", F.min("component").over(entry)).withColumn("high", F.max("component").over(entry)).where("low != high").select("key", "sid", "size", "component")
-    left = stored(left.distinct())
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, "key").where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _near_sizes(F.col("x.size"), F.col("y.size"), num, den))
-    rest = rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    left = left.withColumn("low", F.min("component").over(entry)).withColumn("high", F.max("component").over(entry)).where("low != high").select("key", "sid", "room", "component")
+    left = stored(left.distinct().join(signed, "sid"))
+    cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _can_link("x", "y", num, den) & _parity_close("x", "y", num, den)
+    rest = left.alias("x").join(left.alias("y"), cross).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = verified(stored(rest), texts, n, num, den)
     return components(links.unionByName(more)).withColumnRenamed("node", "sid")
 
@@ -219,7 +253,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, b
     least = classes.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("low")).join(linked, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     whole = least.groupBy("component").agg(F.min("low").alias("component_id"))
     names = least.join(whole, "component").select("sid", "component_id")
-    out = classes.join(names, "sid", "left")
+    out = classes.select("doc_id", "n_shingles", "sid").join(names, "sid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
