@@ -17,7 +17,8 @@ from tidemark.functions import vec
 from tidemark.operators import features, gmm, logits
 from tidemark.plans.fixtures import class_means, head_of, with_logits, with_params
 
-X, Z, W, B, MUS = (F.col(c) for c in ("x", "z", "w", "b", "mus"))
+#: Column names; no session is needed to import this module.
+X, Z, W, B, MUS = "x", "z", "w", "b", "mus"
 #: name -> builder(rows with x, z, w, b, mus; fit rows; parameters) -> rows with score
 _DETECTORS: dict[str, Callable[..., DataFrame]] = {}
 # The search spaces of the detectors' parameters.

@@ -85,6 +85,11 @@ def covariate_drift(df: DataFrame, win: int, warmup: int, splits: list[int], acc
     return rows.crossJoin(F.broadcast(ref)).withColumn("drift", (F.col("moving_accuracy") < F.col("ref_accuracy")).cast("int"))
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Pearson's correlation; null for a constant side."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def drift_summary(rows: DataFrame) -> DataFrame:
     """One row of covariate_drift()'s result: corr_drift, corr_acc, auroc_drift, auroc_mistakes, fpr_drift, fpr_mistakes, first_drift, ref_accuracy.
 
@@ -94,7 +99,7 @@ def drift_summary(rows: DataFrame) -> DataFrame:
 
     both = rows.select(F.lit("drift").alias("what"), (-F.col("ma")).alias("score"), F.col("drift").alias("label")).unionByName(rows.select(F.lit("mistakes").alias("what"), (-F.col("score")).alias("score"), F.col("mistake").cast("int").alias("label")))
     m = ood_results(both, ["what"]).select("what", F.coalesce("auroc", F.lit(1.0)).alias("auroc"), "fpr_at_tpr").groupBy().agg(*[F.max(F.when(F.col("what") == k, F.col(c))).alias(f"{c.split('_')[0]}_{k}") for k in ("drift", "mistakes") for c in ("auroc", "fpr_at_tpr")])
-    s = rows.agg(F.corr(-F.col("ma"), F.col("drift")).alias("corr_drift"), F.corr("ma", "moving_accuracy").alias("corr_acc"), F.coalesce(F.min(F.when(F.col("drift") == 1, F.col("seq"))), F.lit(0)).alias("first_drift"), F.max("ref_accuracy").alias("ref_accuracy"))
+    s = rows.agg(_corr(-F.col("ma"), F.col("drift")).alias("corr_drift"), _corr(F.col("ma"), F.col("moving_accuracy")).alias("corr_acc"), F.coalesce(F.min(F.when(F.col("drift") == 1, F.col("seq"))), F.lit(0)).alias("first_drift"), F.max("ref_accuracy").alias("ref_accuracy"))
     return s.crossJoin(m)
 
 

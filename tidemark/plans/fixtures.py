@@ -25,7 +25,7 @@ def fit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).where((F.col("label") <= LAST_ID_LABEL) & (F.col("id") % 2 == 0))
 
 
-def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, domain, x, label): 0 in distribution, 1 held-out classes, 2 scaled by 1.5, 3 shifted by 0.25 on even positions."""
     v = vectors(spark, sf_dir)
     inside = v.where((F.col("label") <= LAST_ID_LABEL) & (F.col("id") % 2 == 1))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vec
 from tidemark.operators import aggregations, drift, features, logits, metrics
 from tidemark.plans import queries as q
-from tidemark.plans.fixtures import class_means, fit_rows, head_of, test_rows, with_logits
+from tidemark.plans.fixtures import class_means, fit_rows, head_of, probe_rows, with_logits
 from tidemark.plans.queries import BASE_SQL, MUS, ORACLES, SC_SQL, SIMPLE, WIN_SQL, X, Z, q6, query, r6
 
 PIPELINES: dict[str, Callable[..., DataFrame]] = {}
@@ -87,7 +87,7 @@ _SHOW = "n_in, n_out, " + ", ".join(q6(m, m) for m in metrics.METRICS)
 def ood_benchmark(spark: SparkSession, sf_dir: str, score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Fit on in-distribution rows, score test rows and out-of-distribution sets, metrics for each set and their average."""
     fit = fit_rows(spark, sf_dir)
-    rows = with_logits(test_rows(spark, sf_dir), head_of(class_means(fit)))
+    rows = with_logits(probe_rows(spark, sf_dir), head_of(class_means(fit)))
     scored = score(rows) if score else rows.select("domain", F.round(features.maxcosine(X, MUS), 9).alias("score"))
     return with_average(metrics.ood_results(per_domain(scored), ["domain"]))
 
@@ -117,7 +117,7 @@ TEMPERATURES = (0.5, 1.0, 2.0, 5.0, 10.0)
 @register_pipeline("ood_validation")
 def ood_validation(spark: SparkSession, sf_dir: str, grid: tuple[float, ...] = TEMPERATURES, objective: str = "auroc") -> DataFrame:
     """Every trial of a parameter grid in one plan: (temperature, averaged metrics, best); largest auroc, least of the others."""
-    rows = with_logits(test_rows(spark, sf_dir), head_of(class_means(fit_rows(spark, sf_dir))))
+    rows = with_logits(probe_rows(spark, sf_dir), head_of(class_means(fit_rows(spark, sf_dir))))
     trials = rows.select("domain", "z", F.explode(F.array(*[F.lit(t) for t in grid])).alias("temperature"))
     z = F.transform("z", lambda v: v / F.col("temperature"))
     scored = trials.select("temperature", "domain", F.round(logits.msp(z), 9).alias("score"))
@@ -204,7 +204,7 @@ def ensemble_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = fit_rows(spark, sf_dir)
     head = head_of(class_means(fit))
     stack = lambda rows: rows.withColumn("s", F.array(logits.msp(Z), logits.energy(Z), features.maxcosine(X, MUS)))
-    test = stack(with_logits(test_rows(spark, sf_dir), head)).select("id", "domain", "s")
+    test = stack(with_logits(probe_rows(spark, sf_dir), head)).select("id", "domain", "s")
     p = aggregations.p_values(test, stack(with_logits(fit, head)).select("id", "s"))
     return p.select("id", "domain", aggregations.fisher(F.col("p")).alias("score"))
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import special, vec
 from tidemark.operators import aggregations as agg
 from tidemark.operators import drift, features, gmm, gram, logits, metrics, preprocess
-from tidemark.plans.fixtures import BASE_SQL, LAYERS, WIDTH, class_means, fit_rows, head_of, layer_rows, table, test_rows, vectors, with_logits, with_params
+from tidemark.plans.fixtures import BASE_SQL, LAYERS, WIDTH, class_means, fit_rows, head_of, layer_rows, table, probe_rows, vectors, with_logits, with_params
 from tidemark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ def q6(e: str, name: str = "score") -> str:
 
 
 def _logit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_logits(test_rows(spark, sf_dir), head_of(class_means(fit_rows(spark, sf_dir))))
+    return with_logits(probe_rows(spark, sf_dir), head_of(class_means(fit_rows(spark, sf_dir))))
 
 
 def _fit_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,8 @@ def _fit_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_logits(fit, head_of(class_means(fit)))
 
 
-Z, X, W, B, MUS = (F.col(c) for c in ("z", "x", "w", "b", "mus"))
+#: Column names; no session is needed to import this module.
+Z, X, W, B, MUS = "z", "x", "w", "b", "mus"
 
 
 def s_sum(z: str, f: str) -> str:
@@ -96,7 +97,7 @@ for _name, (_column, _sql) in SIMPLE.items():
 
 @query("score_random")
 def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return test_rows(spark, sf_dir).select("id", "domain", logits.random_score(0).alias("score"))
+    return probe_rows(spark, sf_dir).select("id", "domain", logits.random_score(0).alias("score"))
 
 
 def _perturbed(method: str, eps: float, temperature: float, score: Callable[[Column], Column]) -> Callable:
@@ -188,7 +189,7 @@ for _name, _sql, _options in (
 ):
 
     def _knn(spark: SparkSession, sf_dir: str, name=_name, options=_options) -> DataFrame:
-        df, fit = test_rows(spark, sf_dir), fit_rows(spark, sf_dir)
+        df, fit = probe_rows(spark, sf_dir), fit_rows(spark, sf_dir)
         out = features.csi(df, fit) if name == "csi" else features.knn(df, fit, name.removesuffix("_avg"), **options)
         return out.select("id", "domain", r6(F.col("score")))
 
@@ -216,12 +217,12 @@ d AS (SELECT id, domain, list_transform(mus, lambda m: list_sum(list_transform(l
 SELECT id, domain, {q6("sqrt(list_min(ds))")} FROM d""",
 )
 def _igeood_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_params(test_rows(spark, sf_dir), features.igeood_features_fit(fit_rows(spark, sf_dir)))
+    rows = with_params(probe_rows(spark, sf_dir), features.igeood_features_fit(fit_rows(spark, sf_dir)))
     return rows.select("id", "domain", r6(features.igeood_features(X, MUS, F.col("sigma"))))
 
 
 def _matrix_query(name: str, fn: Callable[[DataFrame, DataFrame, SparkSession, str], DataFrame]) -> None:
-    query(name)(lambda spark, sf_dir: fn(test_rows(spark, sf_dir), fit_rows(spark, sf_dir), spark, sf_dir).select("id", "domain", r6(F.col("score"))))
+    query(name)(lambda spark, sf_dir: fn(probe_rows(spark, sf_dir), fit_rows(spark, sf_dir), spark, sf_dir).select("id", "domain", r6(F.col("score"))))
 
 
 def _head_arrays(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +255,7 @@ def layer_stacks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         rows = layer_rows(df.select(*keys, "x")).join(F.broadcast(means), "layer").select(*keys, "layer", features.maxcosine(X, MUS).alias("v"))
         return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("layer", "v"))).alias("r")).select(*keys, F.transform("r", lambda q: q["v"]).alias("s"))
 
-    return stack(test_rows(spark, sf_dir), ["id", "domain"]), stack(fit, ["id"])
+    return stack(probe_rows(spark, sf_dir), ["id", "domain"]), stack(fit, ["id"])
 
 
 STACK_SQL = f"""{BASE_SQL},
@@ -330,7 +331,7 @@ def _projection(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = layer_rows(rows).join(F.broadcast(means), "layer").select(*keys, "layer", features.projection(X, F.col("lmus"), F.col("p")).alias("v"))
         return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("layer", "v"))).alias("r")).select(*keys, F.transform("r", lambda q: q["v"]).alias("s"))
 
-    return agg.aggregate_stack(stack(test_rows(spark, sf_dir), ["id", "domain"]), stack(fit, ["id"]), "innerprod").select("id", "domain", r6(F.col("score")))
+    return agg.aggregate_stack(stack(probe_rows(spark, sf_dir), ["id", "domain"]), stack(fit, ["id"]), "innerprod").select("id", "domain", r6(F.col("score")))
 
 
 P_SQL = f"""{STACK_SQL},
