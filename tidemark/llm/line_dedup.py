@@ -13,8 +13,8 @@ may differ in, B = 2 and then 16; only lines that share a key with another line
 
 Defined results: lines end at \\n; blank lines are kept and never compared; lines below `shortest` characters are
 compared for equality only. Null and empty texts stay as they are. A line whose earlier partner goes itself goes too.
-Rows that repeat id and text count as one row, and share its decisions; null ids come first. Other columns pass through;
-their names may clash with nothing but those that start with `_ld_`. An empty table gives an empty result.
+Rows that repeat id and text count as one row, and share its decisions; null ids come first. Other columns pass through,
+but for those named like the three counts that are added; names that start with `_ld_` are reserved. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -224,7 +224,7 @@ def dedup_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     out = _rows(docs).join(gone, ["_ld_doc", "_ld_text"], "left")
     kept = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_ld_gone", i)), "\n"))
     total = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
-    names = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "lines", "dropped_equal", "dropped_near")]
     near = F.coalesce(F.col("_ld_near"), F.lit(0)).cast("int")
     return out.select(*names, kept.alias("text"), total.alias("lines"), (F.coalesce(F.size("_ld_gone"), F.lit(0)) - near).cast("int").alias("dropped_equal"), near.alias("dropped_near"))
 
