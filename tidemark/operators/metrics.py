@@ -94,6 +94,17 @@ def ood_results(df: DataFrame, keys: list[str], score: str = "score", label: str
     )
 
 
+_SQL_METRICS = {
+    "fpr_at_tpr": "afp / n_out",
+    "detection_error": "least(error, ratio)",
+    "auroc": "area / (CAST(n_in AS DOUBLE) * n_out)",
+    "aupr_in": "pr_in / n_in",
+    "aupr_out": "pr_out / n_out",
+    "f1": "coalesce(2 * hit / (hit + n_in + miss), 0)",
+    "thr": "thr",
+}
+
+
 def ood_results_sql(source: str, keys: str, level: float = 0.95) -> str:
     """The same as CTEs over `source` (keys, score, label); the last one is `res`."""
     return f"""mg AS (SELECT {keys}, CAST(score AS DOUBLE) AS score, sum(label) AS pos, sum(1 - label) AS neg FROM {source} WHERE score IS NOT NULL AND label IN (0, 1) GROUP BY ALL),
@@ -103,7 +114,7 @@ pts_ AS (SELECT *, (tps = pos AND fps = neg) OR np IS NULL OR np <> pos OR nn <>
 ag AS (SELECT {keys}, CAST(max(pt) AS BIGINT) AS n_in, CAST(max(nt) AS BIGINT) AS n_out, arg_max(fps, score) FILTER (kept AND tpr >= {level}) AS afp, arg_max(tp0, score) FILTER (kept AND tpr >= {level}) AS hit, arg_max(fp0, score) FILTER (kept AND tpr >= {level}) AS miss,
  max(score) FILTER (kept AND tpr >= {level}) AS thr, min(ratio * (1 - tpr) + (1 - ratio) * fpr) AS error, max(ratio) AS ratio, sum(neg * (tps + tp0) / 2.0) AS area,
  sum(pos * (tps / (tps + fps) + CASE WHEN tp0 + fp0 > 0 THEN tp0 / (tp0 + fp0) ELSE 1 END) / 2.0) AS pr_in, sum(neg * (fps / (tps + fps) + CASE WHEN tp0 + fp0 > 0 THEN fp0 / (tp0 + fp0) ELSE 1 END) / 2.0) AS pr_out FROM pts_ GROUP BY {keys}),
-res AS (SELECT {keys}, n_in, n_out, afp / n_out AS fpr_at_tpr, least(error, ratio) AS detection_error, area / (CAST(n_in AS DOUBLE) * n_out) AS auroc, pr_in / n_in AS aupr_in, pr_out / n_out AS aupr_out, coalesce(2 * hit / (hit + n_in + miss), 0) AS f1, thr FROM ag)"""
+res AS (SELECT {keys}, n_in, n_out, {", ".join(f"CASE WHEN n_in > 0 AND n_out > 0 THEN {e} END AS {n}" for n, e in _SQL_METRICS.items())} FROM ag)"""
 
 
 METRICS = ("fpr_at_tpr", "detection_error", "auroc", "aupr_in", "aupr_out", "f1", "thr")

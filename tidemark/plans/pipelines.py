@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import vec
 from tidemark.operators import aggregations, drift, features, logits, metrics
 from tidemark.plans import queries as q
 from tidemark.plans.fixtures import class_means, fit_rows, head_of, probe_rows, with_logits
@@ -167,7 +166,13 @@ def scod_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.unionByName(metrics.aurc(plugin, ["method"]))
 
 
-@query("pipe_scod_benchmark")
+_SCOD_SQL = f"""WITH {q.PLUGIN_SQL.replace("SELECT avg(1 - label) AS pi,", "SELECT avg(CAST(domain = 0 AS INTEGER)) AS pi,")}, src AS (SELECT 'msp' AS method, id, sc AS score, label FROM scr), {metrics.ood_results_sql("src", "method")},
+cv AS (SELECT score AS thr, (tp0 + fp0) / (pt + nt) AS coverage, tp0 / nullif(tp0 + fp0, 0) AS risk FROM pts_ WHERE tp0 + fp0 > 0), pk AS (SELECT score AS thr, id FROM src QUALIFY row_number() OVER (ORDER BY md5('rc:' || id), id) <= 1001),
+both_ AS (SELECT 'msp' AS method, cv.coverage, cv.risk, cv.thr FROM pk JOIN cv USING (thr) UNION ALL SELECT 'plugin_bb', cov / be.n, bad / (cov + 1e-7), 1 - 2 * lbd * pi - (0.75 - lbd * (1 - pi)) FROM be, pa),
+ar AS (SELECT method, (coverage - lag(coverage) OVER w) * (risk + lag(risk) OVER w) / 2 AS a FROM both_ WINDOW w AS (PARTITION BY method ORDER BY coverage, thr)) SELECT method, {q6("sum(a)", "aurc")} FROM ar GROUP BY method"""
+
+
+@query("pipe_scod_benchmark", _SCOD_SQL)
 def _pipe_scod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scod_benchmark(spark, sf_dir).select("method", r6(F.col("aurc"), "aurc"))
 
@@ -209,7 +214,11 @@ def ensemble_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", "domain", aggregations.fisher(F.col("p")).alias("score"))
 
 
-@query("pipe_ensemble_drift")
+_ENS_STACK = f"[{SIMPLE['msp'][1]}, {SIMPLE['energy'][1]}, {SIMPLE['maxcosine'][1]}]"
+_ENS_SQL = q.P_SQL[q.P_SQL.index("rf AS (SELECT unnest(s)") :]
+
+
+@query("pipe_ensemble_drift", f"WITH {BASE_SQL}, ts AS MATERIALIZED (SELECT id, domain, {_ENS_STACK} AS s FROM lg), fs AS MATERIALIZED (SELECT id, {_ENS_STACK} AS s FROM fitlg), {_ENS_SQL} SELECT id, domain, {q6(q.COMBINE_SQL['fisher'])} FROM ps")
 def _pipe_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensemble_drift(spark, sf_dir).select("id", "domain", r6(F.col("score")))
 
@@ -218,5 +227,3 @@ def report(results: DataFrame, method: str = "method", domain: str = "domain", m
     """A table of one metric: a row for each method, a column for each domain, in per cent with one decimal."""
     return results.groupBy(method).pivot(domain).agg(F.format_string("%.1f", F.first(F.col(metric)) * 100))
 
-
-_ = vec

@@ -118,7 +118,8 @@ zz AS (SELECT id, domain, {s_logits('x2')} AS z FROM pz) SELECT id, domain, {q6(
 _DIRECTION = "list_transform(range(1, len(x) + 1), lambda j: list_sum(list_transform(w, lambda c, i: c[j] * ({})[i])))"
 query("score_odin_eps", _perturbed_sql("w[list_position(z, list_max(z))]", 0.01, "1.0 / list_sum(list_transform(z, lambda v: exp((v - list_max(z)) / 1000.0)))"))(_perturbed("odin", 0.01, 1000.0, logits.odin))
 query("score_energy_eps", _perturbed_sql(_DIRECTION.format(s_soft("z")), 0.01, s_lse("z")))(_perturbed("energy", 0.01, 1.0, logits.energy))
-query("score_doctor_eps")(_perturbed("doctor", 0.01, 1.0, logits.doctor))
+_P = s_soft("z")
+query("score_doctor_eps", _perturbed_sql(_DIRECTION.format(f"list_transform({_P}, lambda q: 2.0 * (q * q - q * list_dot_product({_P}, {_P})))"), 0.01, f"list_dot_product({_P}, {_P}) - 1.0"))(_perturbed("doctor", 0.01, 1.0, logits.doctor))
 
 
 @query("score_mcdropout")
@@ -629,7 +630,7 @@ def _long_tail_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("src_subset_logits", f"WITH {BASE_SQL}, t AS (SELECT id, domain, [z[1], z[3], z[5], z[7]] AS y FROM lg) SELECT id, domain, CAST(generate_subscripts(y, 1) - 1 AS INTEGER) AS pos, {q6('unnest(y)')} FROM t")
 def _subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = F.array(*[F.lit(i % 2 == 0) for i in range(7)])
-    return _logit_rows(spark, sf_dir).select("id", "domain", F.posexplode(tables.subset_logits(Z, mask)).alias("pos", "v")).select("id", "domain", "pos", r6(F.col("v")))
+    return _logit_rows(spark, sf_dir).select("id", "domain", F.posexplode(tables.subset_logits(F.col(Z), mask)).alias("pos", "v")).select("id", "domain", "pos", r6(F.col("v")))
 
 
 # ---------------------------------------------------------------- experiment logs: the relational operators
