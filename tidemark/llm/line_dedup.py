@@ -231,4 +231,20 @@ def dedup_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "lines", "dropped_equal", "dropped_near", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    return out.select("doc_id", "lines", "dropped_equal", "dropped_near", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+OP4_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS MATERIALIZED (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM d),
+f AS MATERIALIZED (SELECT line, min(struct_pack(d := doc_id, k := k)) AS pos FROM l WHERE NOT regexp_full_match(line, '[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}]*') GROUP BY line),
+g AS MATERIALIZED (SELECT * FROM f WHERE length(line) >= {SHORTEST}),
+v AS MATERIALIZED (SELECT line, pos, i, hash(substr(line, 1, i - 1) || substr(line, i + 1)) AS h FROM (SELECT line, pos, unnest(range(1, length(line) + 1)) AS i FROM g)),
+w AS MATERIALIZED (SELECT *, hash(line) AS h FROM g),
+n AS MATERIALIZED (SELECT a.line FROM v a JOIN v b ON a.h = b.h AND a.i = b.i AND b.pos < a.pos UNION SELECT a.line FROM v a JOIN w b ON a.h = b.h AND b.pos < a.pos UNION SELECT b.line FROM v a JOIN w b ON a.h = b.h AND a.pos < b.pos),
+s AS MATERIALIZED (SELECT l.doc_id, l.k, n.line IS NOT NULL AS near, f.line IS NOT NULL AND f.pos <> struct_pack(d := l.doc_id, k := l.k) AS eq FROM l LEFT JOIN f ON f.line = l.line LEFT JOIN n ON n.line = l.line),
+r AS (SELECT doc_id, sum(CAST(near AS INTEGER)) AS dn, sum(CAST(eq AND NOT near AS INTEGER)) AS de, list(k) FILTER (near OR eq) AS gone FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS INTEGER) AS lines, CAST(coalesce(de, 0) AS INTEGER) AS dropped_equal, CAST(coalesce(dn, 0) AS INTEGER) AS dropped_near,
+ md5(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i)), chr(10)), '') END) AS text_md5
+FROM d LEFT JOIN r USING (doc_id)
+"""

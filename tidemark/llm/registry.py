@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.decontamination import op7_decontamination
 from tidemark.llm.jaccard_join import OP8_SQL, op8_jaccard_join
-from tidemark.llm.line_dedup import op4_line_dedup
+from tidemark.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tidemark.llm.mixing import OP9_SQL, op9_mixing
 from tidemark.llm.quality import op2_quality
 from tidemark.llm.sharding import op5_hilbert_shards
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op1_topk_search": OP1_SQL, "op8_jaccard_join": OP8_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op1_topk_search": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op9_mixing": OP9_SQL}
