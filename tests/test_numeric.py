@@ -476,3 +476,31 @@ def test_vector_edge_rows(spark):
     df = frame(spark, [([0.0, 0.0], [0.0, 0.0])], "a array<double>, b array<double>")
     r = df.select(vec.lse(F.col("a")), vec.argmax(F.col("a")), features.maxcosine(F.col("a"), F.array(F.col("b")))).first()
     assert r[0] == pytest.approx(math.log(2)) and r[1] == 0 and r[2] == 0.0
+
+
+def test_model_seam(spark):
+    from tidemark.sources import models
+
+    models.register_model("double")(lambda: lambda batch: batch * 2)
+    df = frame(spark, [(1, [1.0, 2.0])], "id long, v array<double>")
+    assert models.with_outputs(df, "double", "v", 2).first().x == [2.0, 4.0]
+    with pytest.raises(ValueError):
+        models.with_outputs(df, "nothing", "v", 2)
+
+
+def test_long_tail_draws_and_hooks(spark, data):
+    df = fit_rows(spark, data)
+    got = tables.long_tail_draws(df)
+    assert 0 < got.count() < df.count() and got.columns == df.columns
+    aggregations.register_aggregation("own")(lambda df, fit, s: df.withColumn("score", F.lit(2.0)))
+    assert "own" in aggregations.list_aggregations()
+    one = stack_frame(spark, [[1.0]])
+    assert aggregations.aggregate_stack(one, one, "own").first().score == 2.0
+    aggregations.NUMERIC.pop("own")
+    preprocess.register_preprocessing("own")(lambda df, fit, s="s": df)
+    assert preprocess.PREPROCESSORS.pop("own")(one, one) is one
+
+
+def test_knn_classify_in_parts(spark, data):
+    a, b = (features.knn_classify(probe_rows(spark, data), fit_rows(spark, data), reference_rows=r).orderBy("domain", "id").collect() for r in (1000, 50))
+    assert a == b

@@ -88,6 +88,20 @@ FITTED: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def register_aggregation(name: str) -> Callable:
+    """Registers fn(df, fit, s) -> df with `score` (fitted or not) under a name."""
+
+    def add(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        NUMERIC[name] = fn
+        return fn
+
+    return add
+
+
+def list_aggregations() -> list[str]:
+    return sorted({*STATELESS, *FITTED, *NUMERIC})
+
+
 def aggregate_stack(df: DataFrame, fit: DataFrame, name: str, s: str = "s") -> DataFrame:
     """df with `score` by the named aggregation."""
     if name in STATELESS:

@@ -130,6 +130,32 @@ def knn(df: DataFrame, refs: DataFrame, method: str = "knn_euclides", k: int = 1
     return found.select(*keys, value.alias("score"))
 
 
+def knn_classify(df: DataFrame, refs: DataFrame, k: int = 20, temperature: float = 0.07, reference_rows: int = REFERENCE_ROWS) -> DataFrame:
+    """(id, domain if there, pred): the label with the most weight exp(cosine / temperature) among the k nearest rows of refs (id, x, label)."""
+    n = refs.count()
+    parts = max(1, -(-n // reference_rows))
+    keys = [c for c in ("id", "domain") if c in df.columns]
+    base, found = df.select(*keys, "x"), None
+    for part in range(parts):
+        rows = (refs if parts == 1 else refs.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)).select("x", "label").toPandas()
+        r = gram.matrix(rows["x"])
+        shared = df.sparkSession.sparkContext.broadcast((r / np.linalg.norm(r, axis=1, keepdims=True), rows["label"].to_numpy()))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            unit, label = shared.value
+            for pdf in batches:
+                q = gram.matrix(pdf["x"])
+                s = q / np.linalg.norm(q, axis=1, keepdims=True) @ unit.T if len(q) else np.zeros((0, len(unit)))
+                at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                yield pdf[keys].assign(best=[[{"s": float(s[i, j]), "label": int(label[j])} for j in row] for i, row in enumerate(at)])
+
+        got = base.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in base.dtypes if c != "x") + ", best array<struct<s:double,label:int>>")
+        found = got if found is None else found.unionByName(got)
+    votes = found.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best")).select(*keys, F.explode("best").alias("b"))
+    weights = votes.groupBy(*keys, F.col("b.label").alias("label")).agg(F.sum(F.exp(F.col("b.s") / temperature)).alias("w"))
+    return weights.groupBy(*keys).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("pred"))
+
+
 def csi(df: DataFrame, refs: DataFrame) -> DataFrame:
     """|x| max_j cos(x, r_j) over all fit rows: the nearest one."""
     return knn(df, refs, "knn_projection", 1)

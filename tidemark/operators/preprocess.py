@@ -74,6 +74,16 @@ def power(df: DataFrame, fit: DataFrame, s: str = "s") -> DataFrame:
 
 PREPROCESSORS: dict[str, Callable[..., DataFrame]] = {"none": lambda df, fit=None, s="s": df, "minmax": minmax, "standard": standard, "robust": robust, "maxabs": maxabs, "normalizer_l2": normalizer_l2, "quantile_uniform": quantile_uniform, "power": power}
 
+def register_preprocessing(name: str) -> Callable:
+    """Registers fn(df, fit, s) -> df under a name."""
+
+    def add(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        PREPROCESSORS[name] = fn
+        return fn
+
+    return add
+
+
 # ---------------------------------------------------------------- reductions of feature maps
 
 

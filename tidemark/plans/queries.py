@@ -197,6 +197,12 @@ for _name, _sql, _options in (
     query(f"score_{_name}", _sql)(_knn)
 
 
+@query("score_knn_classify", f"""WITH {BASE_SQL}, rl AS (SELECT id, label, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) AS u FROM fit), s AS (SELECT p.id, p.domain, r.label, {_COS} AS s FROM pts p, rl r),
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id, domain ORDER BY s DESC, label DESC) <= 20), w AS (SELECT id, domain, label, sum(exp(s / 0.07)) AS w FROM k GROUP BY ALL) SELECT id, domain, label AS pred FROM w QUALIFY row_number() OVER (PARTITION BY id, domain ORDER BY w DESC, label) = 1""")
+def _knn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.knn_classify(probe_rows(spark, sf_dir), fit_rows(spark, sf_dir)).select("id", "domain", "pred")
+
+
 @query("score_react", f"WITH {BASE_SQL}, th AS (SELECT quantile_cont(v, 0.9) AS t FROM (SELECT unnest(x) AS v FROM fit)), c AS (SELECT id, domain, w, b, list_transform(x, lambda v: least(v, t)) AS y FROM lg, th), y AS (SELECT id, domain, {s_logits('y')} AS z FROM c) SELECT id, domain, {q6(s_lse('z'))} FROM y")
 def _react(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = features.react_threshold(fit_rows(spark, sf_dir))

@@ -126,13 +126,22 @@ def long_tail_counts(classes: int, n_max: int, factor: float, kind: str = "exp")
     return [n_max] * classes
 
 
+def long_tail_draws(df: DataFrame, scale: float = 1.0, seed: str = "lt", label: str = "label", order: str = "id") -> DataFrame:
+    """A long tail by draws: each class keeps its rows with the class's place among sorted, normalised exponential draws."""
+    draw = -F.ln(1 - unit(seed, F.col(label))) * F.lit(scale)
+    classes = df.select(label).distinct().withColumn("_d", draw)
+    top = classes.agg(F.max("_d")).first()[0] or 1.0
+    keep = unit(seed, F.lit("row"), F.col(label), F.col(order))
+    return df.join(F.broadcast(classes.select(label, (F.col("_d") / F.lit(top)).alias("_p"))), label).where(keep < F.col("_p")).select(*df.columns)
+
+
 def long_tail(df: DataFrame, factor: float = 0.1, kind: str = "exp", label: str = "label", order: str = "id") -> DataFrame:
     """The first rows of each class, as many as long_tail_counts() gives it."""
     sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
     counts = long_tail_counts(len(sizes), max(sizes.values(), default=0), factor, kind)
     want = df.sparkSession.createDataFrame([(k, c) for k, c in zip(sorted(sizes), counts)], T.StructType([T.StructField(label, df.schema[label].dataType), T.StructField("_n", T.IntegerType())]))
     w = Window.partitionBy(label).orderBy(order)
-    return df.join(F.broadcast(want), label).withColumn("_r", F.row_number().over(w)).where("_r <= _n").drop("_r", "_n")
+    return df.join(F.broadcast(want), label).withColumn("_r", F.row_number().over(w)).where("_r <= _n").select(*df.columns)
 
 
 def append_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
