@@ -217,10 +217,11 @@ def lof(df: DataFrame, fit: DataFrame, s: str = "s", n: int = 20, rows: int = 50
 
     def score(x: np.ndarray) -> np.ndarray:
         out = np.empty(len(x))
-        for a in range(0, len(x), 512):
-            d, i = nearest(x[a : a + 512])
+        step = max(1, (1 << 22) // len(ref))
+        for a in range(0, len(x), step):
+            d, i = nearest(x[a : a + step])
             own = 1.0 / (np.maximum(d, k_dist[i]).mean(1) + 1e-10)
-            out[a : a + 512] = -(lrd[i].mean(1) / own)
+            out[a : a + step] = -(lrd[i].mean(1) / own)
         return out
 
     return _stack_matrix(df, score, s)
@@ -228,12 +229,13 @@ def lof(df: DataFrame, fit: DataFrame, s: str = "s", n: int = 20, rows: int = 50
 
 def _self_nearest(ref: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     dist, index = np.empty((len(ref), n)), np.empty((len(ref), n), np.int64)
-    for a in range(0, len(ref), 512):
-        q = ref[a : a + 512]
+    step = max(1, (1 << 22) // len(ref))
+    for a in range(0, len(ref), step):
+        q = ref[a : a + step]
         d = np.sqrt(np.maximum(((q[:, None, :] - ref[None]) ** 2).sum(2), 0))
         d[np.arange(len(q)), a + np.arange(len(q))] = np.inf
-        index[a : a + 512] = np.argsort(d, axis=1, kind="stable")[:, :n]
-        dist[a : a + 512] = np.take_along_axis(d, index[a : a + 512], 1)
+        index[a : a + step] = np.argsort(d, axis=1, kind="stable")[:, :n]
+        dist[a : a + step] = np.take_along_axis(d, index[a : a + step], 1)
     return dist, index
 
 

@@ -91,6 +91,16 @@ def _knn_block(q: np.ndarray, refs: np.ndarray, k: int, metric: str) -> np.ndarr
     return out
 
 
+def _rows_of(table) -> np.ndarray:
+    """The x column of an Arrow table as a matrix, without a Python object for each number."""
+    x = table["x"].combine_chunks()
+    return np.asarray(x.flatten(), np.float64).reshape(len(table), -1) if len(table) else np.zeros((0, 1))
+
+
+def _packed(rows: DataFrame) -> np.ndarray:
+    return _rows_of(rows.select("x").toArrow())
+
+
 def knn(df: DataFrame, refs: DataFrame, method: str = "knn_euclides", k: int = 10, avg_topk: bool = False, alpha: float = 1.0, seed: str = "knn", reference_rows: int = REFERENCE_ROWS) -> DataFrame:
     """df (id, x, ...) with `score`: the k-th (or mean of the k) nearest rows of refs (id, x), exactly.
 
@@ -108,7 +118,7 @@ def knn(df: DataFrame, refs: DataFrame, method: str = "knn_euclides", k: int = 1
     keys = [c for c in base.columns if c != "x"]
     for part in range(parts):
         rows = refs if parts == 1 else refs.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        r = np.array([row.x for row in rows.select("x").toLocalIterator()], np.float64).reshape(-1, len(rows.first().x) if n else 1)
+        r = _packed(rows)
         shared = df.sparkSession.sparkContext.broadcast(r / np.linalg.norm(r, axis=1, keepdims=True))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -137,9 +147,9 @@ def knn_classify(df: DataFrame, refs: DataFrame, k: int = 20, temperature: float
     keys = [c for c in ("id", "domain") if c in df.columns]
     base, found = df.select(*keys, "x"), None
     for part in range(parts):
-        rows = (refs if parts == 1 else refs.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)).select("x", "label").toPandas()
-        r = gram.matrix(rows["x"])
-        shared = df.sparkSession.sparkContext.broadcast((r / np.linalg.norm(r, axis=1, keepdims=True), rows["label"].to_numpy()))
+        got = (refs if parts == 1 else refs.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)).select("x", "label").toArrow()
+        r = _rows_of(got)
+        shared = df.sparkSession.sparkContext.broadcast((r / np.linalg.norm(r, axis=1, keepdims=True), np.asarray(got["label"])))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             unit, label = shared.value
