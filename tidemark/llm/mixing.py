@@ -24,7 +24,7 @@ from tidemark.llm.common import shared_dir, stored, table
 DIMS = ("source", "lang", "topic")
 #: Targets flatten the found shares: share ** power, brought to sum 1.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
-SWEEPS, ROUNDS, KEEP, SEED = 8, 4, 0.75, "mix-1"
+SWEEPS, ROUNDS, KEEP, SEED = 5, 4, 0.75, "mix-1"
 
 
 def tokens_of(text: Column) -> Column:
@@ -59,13 +59,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     shared_dir(cells.sparkSession)
     total = float(cells.agg(F.sum("base")).first()[0] or 0)
     out = cells.withColumn("weight", F.col("base").cast("double"))
+    for dim, target in targets.items():
+        out = out.join(target.withColumnRenamed("target", f"target_{dim}"), dim, "left")
+    out = out.checkpoint()
     for _ in range(sweeps):
-        for dim, target in targets.items():
-            margin = out.groupBy(dim).agg(F.sum("weight").alias("margin")).join(target, dim, "left")
-            factor = F.when(F.col("margin") > 0, F.coalesce(F.col("target"), F.lit(0.0)) * F.lit(total) / F.col("margin")).otherwise(0.0)
-            out = out.join(margin.select(dim, factor.alias("factor")), dim).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        out = out.checkpoint()
-    return out
+        for dim in targets:
+            margin = out.groupBy(dim).agg(F.sum("weight").alias("margin"))
+            factor = F.when(F.col("margin") > 0, F.coalesce(F.col(f"target_{dim}"), F.lit(0.0)) * F.lit(total) / F.col("margin")).otherwise(0.0)
+            # each step reads the one before twice: without a cut the reads would double at every step
+            out = out.join(margin, dim).withColumn("weight", F.col("weight") * factor).drop("margin").checkpoint()
+    return out.drop(*[f"target_{d}" for d in targets])
 
 
 def with_rate(cells: DataFrame, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
