@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import _LOWER, _SPACE, held_out, platt, table, text_blocks, training_rows
 
 #: The fit's bounds: labelled rows of each class, and characters of each.
-ROWS_PER_CLASS, CHARS = 3000, 8000
+ROWS_PER_CLASS, CHARS = 2500, 6000
 WINDOW, OVERLAP, FRAGMENT = 32, 12, (6, 12)
 THRESHOLD = 0.3
 _BINS = 12
@@ -123,33 +123,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -35, 35)))
 
 
-def _pairs(texts: list[str]) -> set[tuple[bytes, bytes]]:
-    """Distinct (word, next word) of the texts: what copies repeat counts once."""
-    out: set[tuple[bytes, bytes]] = set()
+def _contexts(texts: list[str]) -> tuple[Counter, int]:
+    """(words by their distinct next words, number of distinct pairs): what copies repeat counts once. Pairs are held as hashes."""
+    seen: set[int] = set()
+    words: Counter = Counter()
     for t in texts:
         w = t.encode().translate(_LOWER.tobytes()).split()
-        out.update(zip(w, [*w[1:], b""]))
-    return out
+        for pair in zip(w, [*w[1:], b""]):
+            k = hash(pair)
+            if k not in seen:
+                seen.add(k)
+                words[pair[0]] += 1
+    return words, len(seen)
 
 
 def contrast(toxic: list[str], ordinary: list[str], support: float = 0.002, odds: float = 2.5, size: int = 1024) -> bytes:
     """The toxic dictionary: the fragments of words whose distinct contexts are most over-represented in toxic texts."""
     low, high = FRAGMENT
 
-    def count(pairs: set, only: set | None = None) -> Counter:
+    def count(words: Counter, only: set | None = None) -> Counter:
         found: Counter = Counter()
-        for w, k in Counter(w for w, _ in pairs).items():
+        for w, k in words.items():
             w = b" " + w + b" "
             for n in range(low, min(len(w), high) + 1):
                 if only is None or w[:n] in only:
                     found[w[:n]] += k
         return found
 
-    a, b = _pairs(toxic), _pairs(ordinary)
+    (a, n_a), (b, n_b) = _contexts(toxic), _contexts(ordinary)
     least = max(8, support * len(toxic))
     there = {f: k for f, k in count(a).items() if k >= least}
     other = count(b, set(there))
-    gain = {f: k * x for f, k in there.items() if (x := np.log((k + 0.5) / len(a)) - np.log((other[f] + 0.5) / max(1, len(b)))) > odds}
+    gain = {f: k * x for f, k in there.items() if (x := np.log((k + 0.5) / n_a) - np.log((other[f] + 0.5) / max(1, n_b))) > odds}
     chosen: dict[bytes, int] = {}
     for f in sorted(gain, key=lambda f: (-gain[f], -len(f), f)):
         if any(f.startswith(c) and there[f] < 0.8 * n or c.startswith(f) and n >= 0.8 * there[f] for c, n in chosen.items()):
