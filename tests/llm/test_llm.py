@@ -460,3 +460,62 @@ def test_pipeline_stages(spark):
             assert not any(p in t for t in after.text for p in passages) and len(before) - len(after) == sum(any(p in t for p in passages) for t in before.text)
         before = after
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+# ---------------------------------------------------------------- properties
+
+
+def _lines(texts):
+    b = [t.encode() for t in texts]
+    return line_dedup.Lines(np.frombuffer(b"".join(b), np.uint8), np.append(0, np.cumsum([len(x) for x in b])).astype(np.int64), split=False)
+
+
+def test_near_lines_always_share_a_block():
+    """The filters before the variants lose no pair within one edit, and edit checks agree with the full distance."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.text("abé漢", min_size=20, max_size=70), st.integers(0, 200), st.sampled_from(["sub", "ins", "del"]), st.sampled_from("abz"))
+    def check(a, place, kind, c):
+        i = place % len(a)
+        b = a[:i] + {"sub": c + a[i + 1 :], "ins": c + a[i:], "del": a[i + 1 :]}[kind]
+        assert line_dedup.within_one_edit(a, b) == (levenshtein(a, b) <= 1)
+        if len(b) < 20:
+            return
+        lines = _lines([a, b])
+        for blocks in (2, 16):
+            x, y = lines.keys(blocks)
+            assert set(x) & set(y)
+        (va, ha), (vb, hb) = (line_dedup.deletion_variants(t) for t in (a, b))
+        assert [ha, hb] == list(lines.hashes())
+        assert a == b or (set(zip(va, range(len(a)))) & set(zip(vb, range(len(b)))) if len(a) == len(b) else ha in vb or hb in va)
+
+    check()
+
+
+def test_similar_sets_always_share_an_entry():
+    """Whatever the frequency levels say, sets that reach the threshold share an index entry whose room allows the link."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.integers(0, 10**6), st.integers(1, 120), st.integers(0, 12), st.integers(0, 12), st.sampled_from([(85, 100), (80, 100), (50, 100)]), st.integers(0, 40))
+    def check(seed, shared, only_a, only_b, threshold, pair_prefix):
+        num, den = threshold
+        rng = np.random.default_rng(seed)
+        pool = np.unique(rng.integers(0, 1 << 63, shared + only_a + only_b, dtype=np.uint64))
+        rng.shuffle(pool)
+        both = pool[:shared]
+        a, b = np.sort(np.append(both, pool[shared : shared + only_a])), np.sort(np.append(both, pool[shared + only_a :]))
+        same = len(np.intersect1d(a, b))
+        if same * den < num * (len(a) + len(b) - same) or len(a) == len(b) == same:
+            return
+        levels = rng.choice(np.array([0, 0, 5, 9], np.uint8), 16)
+        entries = [dict(zip(*(x.tolist() for x in jaccard_join.index_keys(s, levels, 4, num, den, pair_prefix)))) for s in (a, b)]
+        hits = set(entries[0]) & set(entries[1])
+        assert any(min(entries[0][k], entries[1][k]) * (num + den) >= num * (len(a) + len(b)) for k in hits)
+        odd = sum(int(x).bit_count() for x in (jaccard_join.parities(a).view(np.uint64) ^ jaccard_join.parities(b).view(np.uint64)))
+        assert odd * (num + den) <= (len(a) + len(b)) * (den - num)
+
+    check()
