@@ -7,7 +7,7 @@ tokens are the wanted share of all. The draw is a hash of the id and a seed: it
 share their fate.
 
 Only cells, never documents, are iterated on; sums are pre-aggregated, so a source that holds a third of all rows is
-one row of the cell table, and cells join documents with Spark's own choice of strategy.
+one row of the cell table, and cells are broadcast to the documents as long as their counted number allows it.
 
 Defined results: null source or language is a class of its own, `(none)`; null and empty texts have 0 tokens and the
 topic `empty`; a cell without tokens has ratio 1. A null id is drawn as the text `null`. Repeated rows are weighed each.
@@ -25,6 +25,8 @@ DIMS = ("source", "lang", "topic")
 #: Targets flatten the found shares: share ** power, brought to sum 1.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 SWEEPS, ROUNDS, KEEP, SEED = 5, 4, 0.75, "mix-1"
+#: Cells that are broadcast at most; some 100 bytes each.
+BROADCAST_CELLS = 50_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -96,12 +98,17 @@ def cell_probabilities(rows: DataFrame, keep: float = KEEP, sweeps: int = SWEEPS
     return cells.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMS], F.col("ratio").alias("_mix_ratio"), F.col("probability").alias("_mix_probability"))
 
 
+def _small(cells: DataFrame) -> DataFrame:
+    """cells, to be broadcast where their counted number bounds the size; joined by a shuffle beyond it. Either way all cells take part."""
+    return F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+
+
 def weigh(docs: DataFrame, keep: float = KEEP, seed: str = SEED) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, ratio, probability, sampled) for every row."""
     shared_dir(docs.sparkSession)
     rows = stored(keyed(docs).select("doc_id", *[f"_mix_{d}" for d in DIMS], "_mix_tokens"))
     cells = cell_probabilities(rows, keep)
-    out = rows.join(cells, [f"_mix_{d}" for d in DIMS])
+    out = rows.join(_small(cells), [f"_mix_{d}" for d in DIMS])
     return out.select("doc_id", *[F.col(f"_mix_{d}").alias(d) for d in DIMS], F.col("_mix_tokens").alias("tokens"), F.round("_mix_ratio", 6).alias("ratio"), F.round("_mix_probability", 6).alias("probability"), (draw(F.col("doc_id"), seed) < F.col("_mix_probability")).cast("int").alias("sampled"))
 
 
@@ -110,7 +117,7 @@ def sample_mixture(docs: DataFrame, keep: float = KEEP, seed: str = SEED) -> Dat
     shared_dir(docs.sparkSession)
     rows = keyed(docs)
     cells = cell_probabilities(rows, keep)
-    out = rows.drop("_mix_tokens").join(cells.drop("_mix_ratio"), [f"_mix_{d}" for d in DIMS]).where(draw(F.col("doc_id"), seed) < F.col("_mix_probability"))
+    out = rows.drop("_mix_tokens").join(_small(cells.drop("_mix_ratio")), [f"_mix_{d}" for d in DIMS]).where(draw(F.col("doc_id"), seed) < F.col("_mix_probability"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
