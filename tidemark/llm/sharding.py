@@ -8,7 +8,7 @@ on each of them.
 Law `rows`: shard counts are at most one apart. Row r of n goes to shard floor(r * shards / n); its slot is its place
 there. The order is total: curve index, salt, id, checksum, size. Counts by (cell, salt) are pre-aggregated and summed
 along the curve; ranks within a (cell, salt) come from a window. The salt is a hash of the id and splits a cell into
-runs of about `target_rows`, so that no cell, however many rows or copies it holds, lands in one task.
+runs of about 1,000 rows (more only beyond 65 million rows, so that runs stay countable), so that no cell, however many rows or copies it holds, lands in one task.
 
 Defined results: a null source or language is quantised below all others; a null text has 16 bytes, no checksum and size
 class 0; a null id sorts first. Repeated rows get slots of their own. Other columns pass through; their names may clash with nothing but
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
 
-SHARDS, BITS, TARGET_ROWS = 40, 6, 100_000
+SHARDS, BITS = 40, 6
+#: Rows of a (cell, salt): no fewer than the first, no more of them than the second on top of the cells.
+RUN_ROWS, RUNS = 1000, 1 << 16
 
 
 def hilbert_index(dims: list, bits: int):
@@ -70,7 +72,7 @@ def _rank(value: Column, bounds: list[str]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= value)) if bounds else F.lit(0)
 
 
-def shard_by_curve(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, str] = ("source", "lang"), bits: int = BITS, target_rows: int = TARGET_ROWS) -> DataFrame:
+def shard_by_curve(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, str] = ("source", "lang"), bits: int = BITS, target_rows: int | None = None) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard, curve) for every row."""
 
     @F.pandas_udf("long")
@@ -84,9 +86,10 @@ def shard_by_curve(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     level = F.when(text.isNull(), F.lit(0)).otherwise(F.least(F.floor(F.log2(size.cast("double")) * 3), F.lit(top)).cast("int"))
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[F.least(_rank(F.col(d).cast("string"), b), F.lit(top)).alias(f"dim_{i}") for i, (d, b) in enumerate(zip(dims, bounds))], level.alias("dim_2"))
     rows = stored(rows)
+    total = rows.count()
+    target_rows = target_rows or max(RUN_ROWS, -(-total // RUNS))
     cells = rows.groupBy("dim_0", "dim_1", "dim_2").count()
     cells = cells.withColumn("curve", curve("dim_0", "dim_1", "dim_2")).withColumn("parts", F.ceil(F.col("count") / target_rows).cast("int"))
-    total = rows.count()
     keyed = rows.join(cells.drop("count"), ["dim_0", "dim_1", "dim_2"]).withColumn("salt", F.pmod(F.xxhash64(id_col), F.col("parts")).cast("int"))
     keyed = keyed.select(id_col, "size", "text_crc32", "curve", "salt")
     along = Window.orderBy("curve", "salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
