@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import special, vec
-from tidemark.operators import aggregations, detectors, drift, ensembles, features, gmm, gram, logits, metrics, preprocess
+from tidemark.operators import aggregations, drift, ensembles, features, gmm, gram, lifecycle, logits, metrics, preprocess
 from tidemark.plans import pipelines
 from tidemark.plans.fixtures import fit_rows, probe_rows
 from tidemark.sources import tables
@@ -377,22 +377,22 @@ def test_constant_label_has_auroc_one(spark):
 def test_every_detector_scores(spark, data):
     rows = probe_rows(spark, data).where("domain <= 1")
     n = rows.count()
-    for name in detectors.list_detectors():
+    for name in lifecycle.list_detectors():
         params = {"vim": {"top_k": 16}, "ssd": {"k": 2, "iterations": 3}, "gmm": {"k": 2}}.get(name, {})
-        got = detectors.create_detector(name, **params).fit(fit_rows(spark, data)).transform(rows)
+        got = lifecycle.create_detector(name, **params).fit(fit_rows(spark, data)).transform(rows)
         assert got.where(F.col("score").isNotNull()).count() == n, name
     with pytest.raises(ValueError):
-        detectors.create_detector("nothing")
+        lifecycle.create_detector("nothing")
     with pytest.raises(ValueError):
-        detectors.hyperparameters("nothing")
-    assert detectors.hyperparameters("l1norm") == {} and "temperature" in detectors.hyperparameters("odin")
+        lifecycle.hyperparameters("nothing")
+    assert lifecycle.hyperparameters("l1norm") == {} and "temperature" in lifecycle.hyperparameters("odin")
 
 
 def test_detector_round_trip(spark, data, tmp_path):
     rows = probe_rows(spark, data).where("domain = 0")
-    fitted = detectors.create_detector("energy").with_params(temperature=2.0).fit(fit_rows(spark, data))
+    fitted = lifecycle.create_detector("energy").with_params(temperature=2.0).fit(fit_rows(spark, data))
     fitted.save(str(tmp_path / "d"))
-    again = detectors.load(spark, str(tmp_path / "d"))
+    again = lifecycle.load(spark, str(tmp_path / "d"))
     assert again.detector.params == {"temperature": 2.0}
     assert np.allclose(scores(fitted.transform(rows)), scores(again.transform(rows)))
 

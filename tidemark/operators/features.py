@@ -205,7 +205,7 @@ def mahalanobis(df: DataFrame, fit: DataFrame, method: str = "EmpiricalCovarianc
         a = np.linalg.inv(np.linalg.cholesky(cov + reg * np.eye(len(cov)))).T
     else:
         a = np.linalg.inv(cov + reg * np.eye(len(cov)))
-    # torch's minimum propagates NaN, as numpy's does
+    # a NaN distance makes the minimum NaN
     return gram.map_matrix(df, lambda x: -_nan_to(_class_distances(x, mus, a).min(1), 1e6))
 
 
