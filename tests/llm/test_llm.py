@@ -384,6 +384,31 @@ def test_raking_meets_its_targets(spark):
     assert p.agg(F.sum(F.col("base") * F.col("probability"))).first()[0] == pytest.approx(0.6 * total, rel=1e-6)
 
 
+def skewed_cells(spark):
+    """Sources that nearly keep to one language each, one of them hot: five sweeps do not do."""
+    rows = [(f"s{i}", f"l{j}", f"t{k}", (50_000 if i == 0 else 40 * (i + 1)) if j == i % 4 else 1 + (i + k) % 2) for i in range(30) for j in range(4) for k in range(3)]
+    return spark.createDataFrame(rows, "source string, lang string, topic string, base long")
+
+
+def margin_errors(cells, targets, column="weight"):
+    total = cells.agg(F.sum(column)).first()[0]
+    return {d: max(abs(r.w / total / r.target - 1) for r in cells.groupBy(d).agg(F.sum(column).alias("w")).join(targets[d], d).collect()) for d in targets}
+
+
+def test_raking_goes_on_until_the_margins_hold(spark):
+    cells = skewed_cells(spark)
+    targets = {d: mixing.default_targets(cells, d, mixing.POWERS[d]) for d in mixing.DIMS}
+    assert max(margin_errors(mixing.rake(cells, targets), targets).values()) > 100 * mixing.TOLERANCE
+    assert max(margin_errors(mixing.rake(cells, targets, tolerance=mixing.TOLERANCE), targets).values()) < 2 * mixing.TOLERANCE
+
+
+def test_raking_says_when_targets_contradict(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, base long")
+    shares = {"source": [("a", 0.5), ("b", 0.5)], "lang": [("x", 0.9), ("y", 0.1)], "topic": [("t", 1.0)]}
+    with pytest.warns(UserWarning, match="margin error"):
+        mixing.rake(cells, {d: spark.createDataFrame(v, f"{d} string, target double") for d, v in shares.items()}, tolerance=mixing.TOLERANCE)
+
+
 def test_mixing_edge_rows(spark):
     docs = edge(spark).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.col("source"))).withColumn("lang", F.lit(None).cast("string"))
     got = mixing.weigh(docs).toPandas().set_index("doc_id")

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting; DataFrame operations only.
 
 Documents are counted in cells of (source, language, topic), by tokens. The cells' token weights are raked: each sweep
-scales them to the targets of one margin after the other, until all three margins hold. A cell's weight over its tokens
-is its ratio; a document is kept with probability min(1, rate * ratio), where the rate is solved so that the expected
+scales them to the targets of one margin after the other: as often as OP9_SQL writes out, or, with a tolerance (the
+pipeline), until all three margins hold. A cell's weight over its tokens is its ratio; a document is kept with probability min(1, rate * ratio), where the rate is solved so that the expected
 tokens are the wanted share of all. The draw is a hash of the id and a seed: it can be repeated, and copies of a row
 share their fate.
 
@@ -16,6 +16,8 @@ Names of other columns may clash with nothing but those that start with `_mix_`.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,10 @@ DIMS = ("source", "lang", "topic")
 #: Targets flatten the found shares: share ** power, brought to sum 1.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 SWEEPS, ROUNDS, KEEP, SEED = 5, 4, 0.75, "mix-1"
+#: The largest relative margin error that counts as met, where raking goes on until the margins hold, and the most sweeps for it.
+TOLERANCE, MOST_SWEEPS = 1e-5, 200
+#: Raking has stalled, and says so, when this many sweeps lower the error by less than a hundredth.
+STALL = 10
 #: Cells that are broadcast at most; some 100 bytes each.
 BROADCAST_CELLS = 50_000
 
@@ -53,10 +59,19 @@ def default_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return shares.select(dim, (F.col("n") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+def margin_error(raked: DataFrame, dims: list[str], total: float) -> float:
+    """The largest relative distance of a margin of `weight` from its target, over all values with one; raked has target_<dim>."""
+    margins = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value"), F.col(f"target_{d}").alias("target")) for d in dims]))
+    margins = raked.select("weight", margins.alias("m")).where("m.target > 0").groupBy("m.dim", "m.value").agg(F.sum("weight").alias("weight"), F.max("m.target").alias("target"))
+    return margins.agg(F.max(F.abs(F.col("weight") / (F.col("target") * F.lit(total)) - 1))).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float | None = None) -> DataFrame:
     """cells (dims, base) with `weight`: raked to the targets of each dimension, the total unchanged.
 
-    A value without a target loses its weight; a target without tokens is left out.
+    A value without a target loses its weight; a target without tokens is left out. Without a tolerance exactly `sweeps`
+    sweeps are made; with one, as many as bring the largest relative margin error below it. Targets that contradict each
+    other cannot be met: then raking stops where the error no longer falls, and warns with the error that is left.
     """
     shared_dir(cells.sparkSession)
     total = float(cells.agg(F.sum("base")).first()[0] or 0)
@@ -64,12 +79,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     for dim, target in targets.items():
         out = out.join(target.withColumnRenamed("target", f"target_{dim}"), dim, "left")
     out = out.checkpoint()
-    for _ in range(sweeps):
+    errors = []
+    for _ in range(sweeps if tolerance is None else MOST_SWEEPS):
         for dim in targets:
             margin = out.groupBy(dim).agg(F.sum("weight").alias("margin"))
             factor = F.when(F.col("margin") > 0, F.coalesce(F.col(f"target_{dim}"), F.lit(0.0)) * F.lit(total) / F.col("margin")).otherwise(0.0)
             # each step reads the one before twice: without a cut the reads would double at every step
             out = out.join(margin, dim).withColumn("weight", F.col("weight") * factor).drop("margin").checkpoint()
+        if tolerance is None:
+            continue
+        errors.append(margin_error(out, list(targets), total))
+        if errors[-1] < tolerance:
+            break
+        if len(errors) > STALL and errors[-1] > 0.99 * errors[-1 - STALL]:
+            break
+    if errors and errors[-1] >= tolerance:
+        warnings.warn(f"raking stopped after {len(errors)} sweeps with a margin error of {errors[-1]:.2g}, tolerance {tolerance:.2g}: the targets may contradict each other", stacklevel=2)
     return out.drop(*[f"target_{d}" for d in targets])
 
 
@@ -91,10 +116,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_mix_source": F.coalesce(F.col("source").cast("string"), F.lit("(none)")), "_mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit("(none)")), "_mix_topic": topic_of(F.col("text")), "_mix_tokens": tokens_of(F.col("text"))})
 
 
-def cell_probabilities(rows: DataFrame, keep: float = KEEP, sweeps: int = SWEEPS) -> DataFrame:
+def cell_probabilities(rows: DataFrame, keep: float = KEEP, sweeps: int = SWEEPS, tolerance: float | None = None) -> DataFrame:
     """(_mix_source, _mix_lang, _mix_topic, ratio, probability)."""
     cells = rows.groupBy(*[F.col(f"_mix_{d}").alias(d) for d in DIMS]).agg(F.sum("_mix_tokens").alias("base")).checkpoint()
-    cells = with_rate(rake(cells, {d: default_targets(cells, d, POWERS[d]) for d in DIMS}, sweeps), keep)
+    cells = with_rate(rake(cells, {d: default_targets(cells, d, POWERS[d]) for d in DIMS}, sweeps, tolerance), keep)
     return cells.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMS], F.col("ratio").alias("_mix_ratio"), F.col("probability").alias("_mix_probability"))
 
 
@@ -103,20 +128,20 @@ def _small(cells: DataFrame) -> DataFrame:
     return F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
 
 
-def weigh(docs: DataFrame, keep: float = KEEP, seed: str = SEED) -> DataFrame:
+def weigh(docs: DataFrame, keep: float = KEEP, seed: str = SEED, tolerance: float | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, ratio, probability, sampled) for every row."""
     shared_dir(docs.sparkSession)
     rows = stored(keyed(docs).select("doc_id", *[f"_mix_{d}" for d in DIMS], "_mix_tokens"))
-    cells = cell_probabilities(rows, keep)
+    cells = cell_probabilities(rows, keep, tolerance=tolerance)
     out = rows.join(_small(cells), [f"_mix_{d}" for d in DIMS])
     return out.select("doc_id", *[F.col(f"_mix_{d}").alias(d) for d in DIMS], F.col("_mix_tokens").alias("tokens"), F.round("_mix_ratio", 6).alias("ratio"), F.round("_mix_probability", 6).alias("probability"), (draw(F.col("doc_id"), seed) < F.col("_mix_probability")).cast("int").alias("sampled"))
 
 
-def sample_mixture(docs: DataFrame, keep: float = KEEP, seed: str = SEED) -> DataFrame:
+def sample_mixture(docs: DataFrame, keep: float = KEEP, seed: str = SEED, tolerance: float | None = None) -> DataFrame:
     """The sampled rows of docs; all columns stay as they are."""
     shared_dir(docs.sparkSession)
     rows = keyed(docs)
-    cells = cell_probabilities(rows, keep)
+    cells = cell_probabilities(rows, keep, tolerance=tolerance)
     out = rows.drop("_mix_tokens").join(_small(cells.drop("_mix_ratio")), [f"_mix_{d}" for d in DIMS]).where(draw(F.col("doc_id"), seed) < F.col("_mix_probability"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
