@@ -402,9 +402,42 @@ def test_raking_goes_on_until_the_margins_hold(spark):
     assert max(margin_errors(mixing.rake(cells, targets, tolerance=mixing.TOLERANCE), targets).values()) < 2 * mixing.TOLERANCE
 
 
+@pytest.mark.parametrize("keep", [0.6, mixing.KEEP])
+def test_sample_has_its_target_margins(spark, keep):
+    """Expected tokens by margin, of the setting that the pipeline has: clipping at 1 must not lose what was raked."""
+    rng = random.Random(3)  # at KEEP two topics have fewer tokens than their targets ask for
+    cells = [(f"s{i}", f"l{j}", f"t{k}", rng.randint(200, 1000) * (1, 1, 3, 40, 60)[k]) for i in range(6) for j in range(3) for k in range(5)]
+    cells = spark.createDataFrame(cells, "source string, lang string, topic string, base long")
+    rows = cells.select(*[F.col(d).alias(f"_mix_{d}") for d in mixing.DIMS], F.col("base").alias("_mix_tokens"))
+    wanted = {d: mixing.default_targets(cells, d, mixing.POWERS[d]).toPandas().set_index(d).target for d in mixing.DIMS}
+    found = {d: cells.groupBy(d).agg(F.sum("base").alias("n")).toPandas().set_index(d).n for d in mixing.DIMS}
+
+    def distances(**setting):
+        got = rows.join(mixing.cell_probabilities(rows, keep, **setting), [f"_mix_{d}" for d in mixing.DIMS]).toPandas()
+        assert got._mix_probability.between(0, 1).all()
+        kept = got._mix_tokens * got._mix_probability
+        assert kept.sum() == pytest.approx(keep * got._mix_tokens.sum(), rel=1e-4)
+        out = 0.0
+        for d in mixing.DIMS:
+            total = found[d].sum()
+            target, most = wanted[d].copy(), found[d] / total / keep
+            while (target > most * (1 + 1e-12)).any():  # what is short goes to the others in proportion
+                short = target >= most
+                target = target.where(~short, most)
+                target[~short] *= (1 - target[short].sum()) / target[~short].sum()
+            share = kept.groupby(got[f"_mix_{d}"]).sum() / (keep * total)
+            out = max(out, (share / target - 1).abs().max())
+        return out
+
+    assert distances() > 100 * mixing.TOLERANCE
+    assert distances(tolerance=mixing.TOLERANCE) < 2 * mixing.TOLERANCE
+
+
 def test_raking_says_when_targets_contradict(spark):
     cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, base long")
     shares = {"source": [("a", 0.5), ("b", 0.5)], "lang": [("x", 0.9), ("y", 0.1)], "topic": [("t", 1.0)]}
+    with pytest.warns(UserWarning, match="margin error"):  # sources of one language have too little of the others
+        mixing.rake(skewed_cells(spark), {d: mixing.default_targets(skewed_cells(spark), d, mixing.POWERS[d]) for d in mixing.DIMS}, tolerance=mixing.TOLERANCE, keep=mixing.KEEP)
     with pytest.warns(UserWarning, match="margin error"):
         mixing.rake(cells, {d: spark.createDataFrame(v, f"{d} string, target double") for d, v in shares.items()}, tolerance=mixing.TOLERANCE)
 

@@ -3,7 +3,10 @@
 Documents are counted in cells of (source, language, topic), by tokens. The cells' token weights are raked: each sweep
 scales them to the targets of one margin after the other: as often as OP9_SQL writes out, or, with a tolerance (the
 pipeline), until all three margins hold. A cell's weight over its tokens is its ratio; a document is kept with probability min(1, rate * ratio), where the rate is solved so that the expected
-tokens are the wanted share of all. The draw is a hash of the id and a seed: it can be repeated, and copies of a row
+tokens are the wanted share of all. That clips cells at 1 and refills by the total only, so the sample misses margins.
+With a tolerance the weights are raked under the bound that no probability exceeds 1 instead: the expected sample has
+the target margins, where the found tokens suffice; a value with too few is kept whole, its remainder is dealt to the
+other values in proportion, and a warning gives its size. The draw is a hash of the id and a seed: it can be repeated, and copies of a row
 share their fate.
 
 Only cells, never documents, are iterated on; sums are pre-aggregated, so a source that holds a third of all rows is
@@ -59,6 +62,23 @@ def default_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return shares.select(dim, (F.col("n") / F.lit(total)).alias("target"))
 
 
+def reachable(cells: DataFrame, dim: str, target: DataFrame, keep: float) -> tuple[DataFrame, float]:
+    """(dim, target) that a sample of the share `keep` can have, sum 1, and the share that moved.
+
+    A value with fewer tokens than its target asks for gets what all of them make; the others share the rest in proportion.
+    """
+    total = float(cells.agg(F.sum("base")).first()[0] or 0)
+    values = cells.groupBy(dim).agg((F.sum("base") / F.lit(keep * total)).alias("most")).join(target, dim).checkpoint()
+    rate, moved = 1.0, values.agg(F.sum(F.greatest(F.col("target") - F.col("most"), F.lit(0.0)))).first()[0] or 0.0
+    while True:  # each round that goes on has one more value at its most
+        full = F.col("target") * F.lit(rate) >= F.col("most")
+        taken, loose = values.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("target")))).first()
+        if not loose or (1 - taken) / loose <= rate * (1 + 1e-12):
+            break
+        rate = (1 - taken) / loose
+    return values.select(dim, F.least("most", F.col("target") * F.lit(rate)).alias("target")), moved
+
+
 def margin_error(raked: DataFrame, dims: list[str], total: float) -> float:
     """The largest relative distance of a margin of `weight` from its target, over all values with one; raked has target_<dim>."""
     margins = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value"), F.col(f"target_{d}").alias("target")) for d in dims]))
@@ -66,12 +86,26 @@ def margin_error(raked: DataFrame, dims: list[str], total: float) -> float:
     return margins.agg(F.max(F.abs(F.col("weight") / (F.col("target") * F.lit(total)) - 1))).first()[0] or 0.0
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float | None = None) -> DataFrame:
+def _bounded(cells: DataFrame, keep: float | None) -> DataFrame:
+    return cells if keep is None else cells.withColumn("weight", F.least("weight", F.col("base") / F.lit(keep)))
+
+
+def _bounded_step(cells: DataFrame, dim: str, total: float, keep: float) -> DataFrame:
+    """cells with `weight`, before the bound, scaled so that what is under the bound fills up what the capped cells leave of the margin."""
+    bound, aim = F.col("base") / F.lit(keep), F.coalesce(F.col(f"target_{dim}"), F.lit(0.0)) * F.lit(total)
+    capped = F.col("weight") >= bound
+    sums = cells.groupBy(dim).agg(F.sum(F.least("weight", bound)).alias("margin"), F.sum(F.when(capped, bound).otherwise(0.0)).alias("full"), F.sum(F.when(capped, 0.0).otherwise(F.col("weight"))).alias("loose"))
+    factor = F.when((F.col("margin") <= 0) | (aim <= 0), 0.0).when((F.col("loose") > 0) & (aim > F.col("full")), (aim - F.col("full")) / F.col("loose")).otherwise(aim / F.col("margin"))
+    return cells.join(sums, dim).withColumn("weight", F.col("weight") * factor).drop("margin", "full", "loose")
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float | None = None, keep: float | None = None) -> DataFrame:
     """cells (dims, base) with `weight`: raked to the targets of each dimension, the total unchanged.
 
     A value without a target loses its weight; a target without tokens is left out. Without a tolerance exactly `sweeps`
     sweeps are made; with one, as many as bring the largest relative margin error below it. Targets that contradict each
     other cannot be met: then raking stops where the error no longer falls, and warns with the error that is left.
+    With keep no weight exceeds base / keep, so that keep * weight / base is a probability.
     """
     shared_dir(cells.sparkSession)
     total = float(cells.agg(F.sum("base")).first()[0] or 0)
@@ -82,20 +116,23 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     errors = []
     for _ in range(sweeps if tolerance is None else MOST_SWEEPS):
         for dim in targets:
+            if keep is not None:
+                out = _bounded_step(out, dim, total, keep).checkpoint()
+                continue
             margin = out.groupBy(dim).agg(F.sum("weight").alias("margin"))
             factor = F.when(F.col("margin") > 0, F.coalesce(F.col(f"target_{dim}"), F.lit(0.0)) * F.lit(total) / F.col("margin")).otherwise(0.0)
             # each step reads the one before twice: without a cut the reads would double at every step
             out = out.join(margin, dim).withColumn("weight", F.col("weight") * factor).drop("margin").checkpoint()
         if tolerance is None:
             continue
-        errors.append(margin_error(out, list(targets), total))
+        errors.append(margin_error(_bounded(out, keep), list(targets), total))
         if errors[-1] < tolerance:
             break
         if len(errors) > STALL and errors[-1] > 0.99 * errors[-1 - STALL]:
             break
     if errors and errors[-1] >= tolerance:
         warnings.warn(f"raking stopped after {len(errors)} sweeps with a margin error of {errors[-1]:.2g}, tolerance {tolerance:.2g}: the targets may contradict each other", stacklevel=2)
-    return out.drop(*[f"target_{d}" for d in targets])
+    return _bounded(out, keep).drop(*[f"target_{d}" for d in targets])
 
 
 def with_rate(cells: DataFrame, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
@@ -119,7 +156,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 def cell_probabilities(rows: DataFrame, keep: float = KEEP, sweeps: int = SWEEPS, tolerance: float | None = None) -> DataFrame:
     """(_mix_source, _mix_lang, _mix_topic, ratio, probability)."""
     cells = rows.groupBy(*[F.col(f"_mix_{d}").alias(d) for d in DIMS]).agg(F.sum("_mix_tokens").alias("base")).checkpoint()
-    cells = with_rate(rake(cells, {d: default_targets(cells, d, POWERS[d]) for d in DIMS}, sweeps, tolerance), keep)
+    targets = {d: default_targets(cells, d, POWERS[d]) for d in DIMS}
+    if tolerance is None:
+        cells = with_rate(rake(cells, targets, sweeps), keep)
+    else:
+        for d in DIMS:
+            targets[d], moved = reachable(cells, d, targets[d], keep)
+            if moved > 0:
+                warnings.warn(f"{moved:.2%} of the tokens wanted by {d} are not there at a share of {keep} and go to its other values", stacklevel=2)
+        # under the bound keep * ratio is a probability: no round of refilling
+        cells = with_rate(rake(cells, targets, tolerance=tolerance, keep=keep), keep, 0)
     return cells.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMS], F.col("ratio").alias("_mix_ratio"), F.col("probability").alias("_mix_probability"))
 
 
