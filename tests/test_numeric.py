@@ -324,6 +324,32 @@ def test_numeric_aggregations(spark):
         aggregations.aggregate_stack(fit, fit, "nothing")
 
 
+@pytest.mark.parametrize("rows", [37, 50_000])
+def test_lof_brute_force(spark, rows):
+    """Every fit row counts, copies as often as they occur, whatever number of rows is held at a time."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(130, 3)), rng.normal(size=(70, 3)) * 0.1 + 4])
+    x = np.concatenate([x, x[:15], np.repeat(x[20:21], 12, 0)])
+    q = np.concatenate([x[:30], rng.normal(size=(30, 3)) * 3])
+    n = 20
+
+    def nearest(a, own):
+        d = np.sqrt(((a[:, None] - x[None]) ** 2).sum(2))
+        if own:
+            np.fill_diagonal(d, np.inf)
+        i = np.argsort(d, axis=1, kind="stable")[:, :n]
+        return np.take_along_axis(d, i, 1), i
+
+    d, i = nearest(x, True)
+    k_dist = d[:, -1]
+    lrd = 1 / (np.maximum(d, k_dist[i]).mean(1) + 1e-10)
+    d, i = nearest(q, False)
+    want = -lrd[i].mean(1) * (np.maximum(d, k_dist[i]).mean(1) + 1e-10)
+    got = aggregations.lof(stack_frame(spark, q), stack_frame(spark, x), n=n, rows=rows)
+    assert got.columns == ["id", "s", "score"]
+    assert got.orderBy("id").toPandas().score.to_numpy() == pytest.approx(want, rel=1e-9)
+
+
 def test_preprocessors_zero_range(spark):
     df = stack_frame(spark, [[1.0, 5.0], [1.0, 7.0]])
     for name, want in (("minmax", [0.0, 0.0]), ("standard", [0.0, -1.0]), ("maxabs", [1.0, 5 / 7])):

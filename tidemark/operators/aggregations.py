@@ -6,6 +6,7 @@ single pre-aggregated job computes.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -201,42 +202,88 @@ def power(df: DataFrame, fit: DataFrame, s: str = "s") -> DataFrame:
     return _stack_matrix(df, lambda x: np.column_stack([(yeo_johnson(x[:, j].copy(), lam) - m) / (sd or 1.0) for j, (lam, m, sd) in enumerate(params)]).mean(1), s)
 
 
-def lof(df: DataFrame, fit: DataFrame, s: str = "s", n: int = 20, rows: int = 50_000) -> DataFrame:
-    """Minus the local outlier factor against the fit rows. The fit set is bounded: at most `rows`, the least by md5 of the stack."""
-    ref = np.array([r[0] for r in fit.select(s).orderBy(F.md5(F.to_json(s).cast("binary")), F.to_json(s)).limit(rows).collect()], np.float64)
-    n = min(n, len(ref) - 1)
-
-    def nearest(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = np.sqrt(np.maximum(((q[:, None, :] - ref[None]) ** 2).sum(2), 0))
-        i = np.argsort(d, axis=1, kind="stable")[:, :n]
-        return np.take_along_axis(d, i, 1), i
-
-    dist, index = _self_nearest(ref, n)
-    k_dist = dist[:, -1]
-    lrd = 1.0 / (np.maximum(dist, k_dist[index]).mean(1) + 1e-10)
-
-    def score(x: np.ndarray) -> np.ndarray:
-        out = np.empty(len(x))
-        step = max(1, (1 << 22) // len(ref))
-        for a in range(0, len(x), step):
-            d, i = nearest(x[a : a + step])
-            own = 1.0 / (np.maximum(d, k_dist[i]).mean(1) + 1e-10)
-            out[a : a + step] = -(lrd[i].mean(1) / own)
-        return out
+def _cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read again: what is joined by value must not be computed twice."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
+
 
-    return _stack_matrix(df, score, s)
+def _nearest(q: np.ndarray, ref: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, places) of the n nearest rows of ref, nearest first, equal ones by place."""
+    d = np.zeros((len(q), len(ref)))
+    for j in range(ref.shape[1]):
+        d += (q[:, j, None] - ref[None, :, j]) ** 2
+    d = np.sqrt(d)
+    n = min(n, len(ref))
+    i = np.sort(np.argpartition(d, n - 1, axis=1)[:, :n], axis=1)
+    found = np.take_along_axis(d, i, 1)
+    i = np.take_along_axis(i, np.argsort(found, axis=1, kind="stable"), 1)
+    tied = (d <= found.max(1, keepdims=True)).sum(1) != n  # more rows at the last distance, or NaN
+    if tied.any():
+        i[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :n]
+    return np.take_along_axis(d, i, 1), i
 
 
-def _self_nearest(ref: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    dist, index = np.empty((len(ref), n)), np.empty((len(ref), n), np.int64)
-    step = max(1, (1 << 22) // len(ref))
-    for a in range(0, len(ref), step):
-        q = ref[a : a + step]
-        d = np.sqrt(np.maximum(((q[:, None, :] - ref[None]) ** 2).sum(2), 0))
-        d[np.arange(len(q)), a + np.arange(len(q))] = np.inf
-        index[a : a + step] = np.argsort(d, axis=1, kind="stable")[:, :n]
-        dist[a : a + step] = np.take_along_axis(d, index[a : a + step], 1)
-    return dist, index
+def _neighbours(base: DataFrame, ref: DataFrame, n: int, parts: int, own: bool) -> DataFrame:
+    """(key, d, near, take): the n nearest fit rows of each row of base (key, s), as distinct rows `near` that count `take` times.
+
+    ref (key, s, c) is held part by part; each part gives its n + 1 best distinct rows, which are merged. With own a row is
+    not its own neighbour, but its copies are.
+    """
+    found = None
+    for part in range(parts):
+        got = ref.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).orderBy("key").toArrow()
+        if not len(got):
+            continue
+        keys, counts = np.asarray(got["key"].to_pylist(), "S32"), np.asarray(got["c"])
+        rows = np.asarray(got["s"].combine_chunks().flatten(), np.float64).reshape(len(got), -1)
+        shared = base.sparkSession.sparkContext.broadcast((keys, counts, rows))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            keys, counts, rows = shared.value
+            step = max(1, (1 << 21) // len(rows))
+            for pdf in batches:
+                for a in range(0, len(pdf), step):
+                    block = pdf.iloc[a : a + step]
+                    d, i = _nearest(np.array(block["s"].tolist(), np.float64), rows, n + 1)
+                    yield pd.DataFrame({"key": block["key"], "best": [[{"d": float(x), "near": keys[y].decode(), "c": int(counts[y])} for x, y in zip(*r)] for r in zip(d, i)]})
+
+        one = base.select("key", "s").mapInPandas(run, "key string, best array<struct<d double, near string, c bigint>>")
+        found = one if found is None else found.unionByName(one)
+    if parts > 1:
+        found = found.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, n + 1).alias("best"))
+    if own:
+        found = found.select("key", F.transform("best", lambda b: F.struct(b["d"].alias("d"), b["near"].alias("near"), (b["c"] - (b["near"] == F.col("key")).cast("long")).alias("c"))).alias("best"))
+    before = lambda i: F.aggregate(F.slice("best", F.lit(1), i), F.lit(0).cast("long"), lambda t, b: t + b["c"])
+    taken = F.transform("best", lambda b, i: F.struct(b["d"].alias("d"), b["near"].alias("near"), F.least(b["c"], F.lit(n) - before(i)).alias("take")))
+    return found.select("key", F.explode(taken).alias("b")).select("key", "b.*").where("take > 0")
+
+
+def lof(df: DataFrame, fit: DataFrame, s: str = "s", n: int = 20, rows: int = 50_000) -> DataFrame:
+    """Minus the local outlier factor against all fit rows, exactly; about `rows` of them are held at a time.
+
+    Copies have the same neighbours, so distinct rows are searched for and counted as often as they occur. Of rows at
+    equal distance the first by md5 of the stack are taken.
+    """
+    key = F.md5(F.to_json(s).cast("binary"))
+    ref = _cut(fit.groupBy(F.col(s).alias("s")).agg(F.count("*").alias("c")).select(F.md5(F.to_json("s").cast("binary")).alias("key"), "s", "c"))
+    total, distinct = ref.agg(F.sum("c"), F.count("*")).first()
+    n = min(n, (total or 0) - 1)
+    if n < 1:
+        raise ValueError("lof needs two fit rows at least")
+    parts = max(1, -(-distinct // rows))
+
+    near = _cut(_neighbours(ref, ref, n, parts, own=True))
+    reach = near.groupBy("key").agg(F.max("d").alias("k_dist")).withColumnRenamed("key", "near")
+    density = 1.0 / (F.sum(F.col("take") * F.greatest("d", "k_dist")) / n + 1e-10)
+    local = _cut(near.join(reach, "near").groupBy("key").agg(density.alias("lrd")).withColumnRenamed("key", "near").join(reach, "near"))
+
+    base = _cut(df.withColumn("_lof_key", key))
+    queries = base.groupBy("_lof_key").agg(F.first(s).alias("s")).withColumnRenamed("_lof_key", "key")
+    scores = _neighbours(queries, ref, n, parts, own=False).join(local, "near").groupBy(F.col("key").alias("_lof_key")).agg((-(F.sum(F.col("take") * F.col("lrd")) / n) / density).alias("score"))
+    return base.join(scores, "_lof_key", "left").drop("_lof_key")
 
 
 def _path(n: float) -> float:
