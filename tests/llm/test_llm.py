@@ -280,6 +280,20 @@ def test_decontamination_finds_every_edited_passage(spark):
     assert {r.doc_id for r in kept.collect()} == {60, 61, 62, 63} and kept.columns == documents(spark, []).columns
 
 
+@pytest.mark.parametrize("m", range(8, 41))
+def test_decontamination_finds_edited_short_passages(m):
+    """With all allowed edits, each where it breaks eight q-grams."""
+    rng = random.Random(m)
+    p = "".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(m))
+    index = decontamination.Passages([(1, p)])
+    e = int(index.budget[0])
+    assert index.least[0] >= 1
+    edited = "".join("z" if i % 8 == 7 and i // 8 < e else c for i, c in enumerate(p))
+    for text in (p, edited):
+        b = np.frombuffer(f"xyz {text} xyz".encode(), np.uint8)
+        assert any(f[1] == 1 and f[4] <= e for f in index.search(b, np.array([0, len(b)]))), text
+
+
 def test_decontamination_edge_rows(spark):
     bench = spark.createDataFrame([(1, EDGE[4]), (None, EDGE[6])], "item_id long, text string")
     got = decontamination.occurrences(edge(spark), bench).collect()

@@ -96,7 +96,7 @@ class Passages:
                 else:
                     self.short[-1] = (item, b.tobytes())
         m = np.array([len(b) for b in self.texts], np.int64)
-        self.budget = np.minimum(np.floor(m * share), (m + 1) // Q - 1).astype(np.int64).clip(0) if len(m) else m
+        self.budget = np.minimum(np.floor(m * share), m // Q - 1).astype(np.int64).clip(0) if len(m) else m
         self.least = m + 1 - Q * (self.budget + 1)
         self.band = np.maximum(self.budget + 1, 16)
         grams = [qgrams(b) for b in self.texts]
