@@ -355,6 +355,17 @@ def test_jaccard_edge_rows(spark):
     assert kept.count() == len(EDGE) and kept.columns == edge(spark).columns
 
 
+def test_keep_first_with_repeated_ids(spark):
+    a, b, c = ("one two three four five six seven " + w for w in ("a", "b", "c"))
+    texts = [a, a, b + " other text of its own that is linked with nothing", a, c * 3, c * 3, "", "", a]
+    ids = [1, 1, 2, 2, 5, 4, 7, 7, None]
+    docs = documents(spark, texts, ids)
+    kept = jaccard_join.keep_first_of_groups(docs)
+    assert kept.columns == docs.columns
+    # of group a the first row of id 1; id 2 keeps the text that is no copy; rows without a set or an id stay
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted([(1, a), (2, texts[2]), (4, c * 3), (7, ""), (7, ""), (-1, a)])
+
+
 def test_shingle_counts_match_words():
     import pyarrow as pa
 

@@ -258,10 +258,20 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, b
 
 
 def keep_first_of_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each group of linked texts: that of the least doc_id. Rows without a set or an id stay."""
-    groups = jaccard_groups(docs, n, num, den).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_jj_id")).distinct()
-    out = docs.join(groups, docs["doc_id"].cast("long") == F.col("_jj_id"), "left_anti")
-    return out
+    """docs with one row of each group of linked texts: that of the least doc_id. Rows without a set or an id stay.
+
+    Groups are of rows, not of ids: where ids repeat, rows are numbered by id and then by all their columns as JSON, so that
+    one of repeated rows stays, and of one id's different texts each is decided by its own links.
+    """
+    key = F.col("doc_id").cast("long")
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy(key.alias("doc_id")).count()
+    rows, row = docs, key
+    if not ids.where("count > 1").isEmpty():
+        ordered = docs.orderBy(key, F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+        rows, row = stored(ordered.withColumn("_jj_row", F.when(key.isNotNull(), F.monotonically_increasing_id()))), F.col("_jj_row")
+    groups = jaccard_groups(rows.select(row.alias("doc_id"), "text"), n, num, den)
+    drop = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_jj_id"))
+    return rows.join(drop, row == F.col("_jj_id"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
