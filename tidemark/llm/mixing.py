@@ -113,16 +113,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     for dim, target in targets.items():
         out = out.join(target.withColumnRenamed("target", f"target_{dim}"), dim, "left")
     out = out.checkpoint()
+    if tolerance is not None:
+        # many sweeps: as few files as the counted cells need, not one for each shuffle partition at every step
+        parts = 1 + out.count() // BROADCAST_CELLS
+        out = out.coalesce(parts)
     errors = []
     for _ in range(sweeps if tolerance is None else MOST_SWEEPS):
         for dim in targets:
-            if keep is not None:
-                out = _bounded_step(out, dim, total, keep).checkpoint()
+            if keep is not None and tolerance is not None:
+                out = _bounded_step(out, dim, total, keep).coalesce(parts).checkpoint()
                 continue
             margin = out.groupBy(dim).agg(F.sum("weight").alias("margin"))
             factor = F.when(F.col("margin") > 0, F.coalesce(F.col(f"target_{dim}"), F.lit(0.0)) * F.lit(total) / F.col("margin")).otherwise(0.0)
             # each step reads the one before twice: without a cut the reads would double at every step
-            out = out.join(margin, dim).withColumn("weight", F.col("weight") * factor).drop("margin").checkpoint()
+            out = out.join(margin, dim).withColumn("weight", F.col("weight") * factor).drop("margin")
+            out = (out if tolerance is None else out.coalesce(parts)).checkpoint()
         if tolerance is None:
             continue
         errors.append(margin_error(_bounded(out, keep), list(targets), total))
