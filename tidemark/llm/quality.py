@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import held_out, platt, table, text_blocks, training_rows
 
-#: The fit's bounds: labelled rows of each class, and characters of each.
-ROWS_PER_CLASS, CHARS = 2000, 8000
+#: The fit's bounds: labelled rows of each class, and bytes of their whole texts.
+ROWS_PER_CLASS, BYTES_PER_CLASS = 2000, 16 << 20
 THRESHOLD = 0.7
 _BITS = 18
 _SIZE = (1 << 8) + (1 << 16) + (1 << _BITS) + (1 << 12)
@@ -155,7 +155,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*training_rows(docs, labels, "quality", ROWS_PER_CLASS, CHARS))
+    return fit(*training_rows(docs, labels, "quality", ROWS_PER_CLASS, BYTES_PER_CLASS))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

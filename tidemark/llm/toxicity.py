@@ -1,25 +1,29 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text is cut in windows of about 32
-bytes at word starts; each window is compressed with both dictionaries, and the difference of the two lengths says how
-much better toxic text explains it. The histogram of a text's differences, calibrated on labelled texts that had no
-part in the dictionaries, gives its probability.
-
-What makes the lengths comparable on so short windows: a primer that both dictionaries hold stands before each window,
+zstandard dictionaries are trained separately on ordinary and on toxic text. A text is cut in windows of about 32 bytes
+at word starts; each window is compressed once with the ordinary dictionary and once with the ordinary and the toxic
+one together, and the difference of the two lengths says how much toxic text explains of it that ordinary text
+does not. Differences become log-likelihood ratios; their sum over a text, calibrated on labelled texts that had no
+part in the dictionaries, gives its log odds. This is done with two pairs of dictionaries, each trained on two of three
+folds and calibrated on the third; the score is the probability of the mean log odds.
+
+What each trainer sees: of ordinary texts windows as they are; of toxic texts the stretches made of byte 6-grams that
+are surely more frequent in toxic than in ordinary texts (the log odds exceed a bound by two standard errors). Without that,
+common syllables crowd out what is toxic, and the distance tells little. Grams are counted by the distinct contexts
+they stand in: what copies of one text repeat counts once, however many there are.
+
+What makes the lengths comparable on so short windows: a primer that both sides hold stands before each window,
 so that the frame is always compressible and a single further match shows; windows overlap by a few bytes, since
-zstandard looks for no match in the last bytes of a frame; matches are of 6 bytes or more. The toxic dictionary holds
-fragments (with the space before the word) that are far more frequent in toxic than in ordinary texts, counted by the
-distinct contexts they stand in: copies of one text count once, however many there are.
+zstandard looks for no match in the last bytes of a frame; matches are of 6 bytes or more.
 
 Defined results: null and empty texts have no window and get the score of no evidence, like any text without a
 difference; null ids stay, and are not held out; repeated rows are scored each. Labels of the held-out fold are never
-read by the fit. Without labels of both classes every score is the share of label 1 (0 without labels).
-Other columns are ignored, whatever their names.
+read by the fit, which reads its rows whole. Without labels of both classes every score is the share of label 1 (0
+without labels). Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,14 +33,20 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _LOWER, _SPACE, held_out, platt, table, text_blocks, training_rows
+from tidemark.llm.common import _LOWER, _SPACE, held_out, mix64, platt, table, text_blocks, training_rows
 
-#: The fit's bounds: labelled rows of each class, and characters of each.
-ROWS_PER_CLASS, CHARS = 2500, 6000
-WINDOW, OVERLAP, FRAGMENT = 32, 12, (6, 12)
+#: The fit's bounds: labelled rows of each class, and bytes of their whole texts.
+ROWS_PER_CLASS, BYTES_PER_CLASS = 2500, 16 << 20
+WINDOW, OVERLAP = 32, 12
+#: Bytes of the two dictionaries, and ordinary windows that the trainer sees at most (evenly spaced among all).
+ORDINARY_SIZE, TOXIC_SIZE, TRAINER_WINDOWS = 2048, 2048, 40_000
+#: A gram leans to toxic text when its log odds exceed ODDS by DEVIATIONS standard errors, in LEAST contexts or more.
+GRAM, ODDS, DEVIATIONS, LEAST, FOLDS = 6, 1.5, 2.0, 4, 3
 THRESHOLD = 0.3
-_BINS = 12
+_GRAM_BITS, _SEEN_BITS = 22, 28
+_TOP = 16
 _PRIMER = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)
+_PAD = b"\n" * 16
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,8 +82,8 @@ def lengths(compressor: zstandard.ZstdCompressor, buffer: bytes, segments: bytes
     return np.fromiter(map(len, out), np.int64, len(out))
 
 
-def differences(ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Bytes that the toxic dictionary saves over the ordinary one, for each window."""
+def differences(pairs: list[tuple], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Of each pair of compressors the bytes that the toxic side saves over the ordinary one, for each window."""
     p = len(_PRIMER)
     tail = 12  # spaces after the window, for the same reason as the overlap
     size = ends - starts + p + tail
@@ -83,117 +93,172 @@ def differences(ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompres
     last = np.repeat(ends, size)
     buffer = np.where(place < p, _PRIMER[np.minimum(place, p - 1)], np.where(source < last, data[np.clip(source, 0, len(data) - 1)], 32)).astype(np.uint8).tobytes()
     segments = np.column_stack([at[:-1], size]).astype(np.uint64).tobytes()
-    return lengths(ordinary, buffer, segments) - lengths(toxic, buffer, segments)
+    return [lengths(ordinary, buffer, segments) - lengths(toxic, buffer, segments) for ordinary, toxic in pairs]
+
+
+def histograms(data: np.ndarray, offsets: np.ndarray, pairs: list[tuple]) -> np.ndarray:
+    """(pair, row, difference): the number of a row's windows by difference, -_TOP to _TOP (beyond them counts as the last). data: lower-cased bytes."""
+    starts, ends, row = windows(data, offsets)
+    out = np.zeros((len(pairs), len(offsets) - 1, 2 * _TOP + 1))
+    for a in range(0, len(starts), 1 << 14):
+        cut = slice(a, a + (1 << 14))
+        low, high = starts[cut].min(), ends[cut].max()
+        for k, d in enumerate(differences(pairs, data[low:high], starts[cut] - low, ends[cut] - low)):
+            np.add.at(out[k], (row[cut], np.clip(d, -_TOP, _TOP) + _TOP), 1)
+    return out
+
+
+def features(hist: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """Of each row: its summed evidence (signed logarithm, and by the root of the number of windows), log number of windows, and the evidence for toxic text alone (logarithm, and mean)."""
+    n = np.maximum(hist.sum(1), 1)
+    total, toxic = hist @ evidence, hist @ np.maximum(evidence, 0)
+    return np.column_stack([np.sign(total) * np.log1p(np.abs(total)), total / np.sqrt(n), np.log1p(hist.sum(1)), np.log1p(toxic), toxic / n])
 
 
 @dataclass
 class Model:
-    """Both dictionaries' contents and the calibration of the difference histogram; no more than a few KB."""
+    """Of each pair the contents of both dictionaries, the evidence of a difference and the weights of the calibration; a few KB."""
 
-    ordinary: bytes
-    toxic: bytes
-    weights: np.ndarray | None
+    pairs: list[tuple[bytes, bytes]]
+    evidence: list[np.ndarray]
+    weights: list[np.ndarray]
     prior: float
 
-    def features(self, data: np.ndarray, offsets: np.ndarray, compressors: tuple) -> np.ndarray:
-        """Of each row: largest and mean difference, shares and log counts of the windows by difference, log of their number."""
-        rows = len(offsets) - 1
-        starts, ends, row = windows(data, offsets)
-        hist = np.zeros((rows, _BINS))
-        total = np.zeros(rows)
-        for a in range(0, len(starts), 1 << 14):
-            cut = slice(a, a + (1 << 14))
-            low = starts[cut].min()
-            high = ends[cut].max()
-            d = differences(*compressors, data[low:high], starts[cut] - low, ends[cut] - low)
-            np.add.at(hist, (row[cut], np.clip(d, 0, _BINS - 1)), 1)
-            np.add.at(total, row[cut], d)
-        n = np.maximum(hist.sum(1), 1)
-        tail = hist[:, ::-1].cumsum(1)[:, ::-1][:, 1:]
-        top = np.where(tail.any(1), _BINS - 1 - np.argmax((hist > 0)[:, ::-1], axis=1), 0)
-        return np.column_stack([top, total / n, tail / n[:, None], np.log1p(tail), np.log1p(hist.sum(1))])
-
-    def compressors(self) -> tuple:
-        return _compressor(self.ordinary), _compressor(self.toxic)
-
-    def score(self, data: np.ndarray, offsets: np.ndarray, compressors: tuple) -> np.ndarray:
-        if self.weights is None:
+    def compressors(self) -> list[tuple]:
+        """(ordinary side, toxic side) of each pair: the toxic part stands before what both hold, so that this lies at the same distance on both sides."""
+        both = [(o + _PRIMER.tobytes() + _PAD, t) for o, t in self.pairs]
+        return [(_compressor(o), _compressor(t + o)) for o, t in both]
+
+    def score(self, data: np.ndarray, offsets: np.ndarray, compressors: list[tuple]) -> np.ndarray:
+        if not self.weights:
             return np.full(len(offsets) - 1, self.prior)
-        x = self.features(_LOWER[data], offsets, compressors)
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -35, 35)))
+        margin = 0.0
+        for hist, evidence, w in zip(histograms(_LOWER[data], offsets, compressors), self.evidence, self.weights):
+            x = features(hist, evidence)
+            margin = margin + np.column_stack([x, np.ones(len(x))]) @ w
+        return 1 / (1 + np.exp(-np.clip(margin / len(self.weights), -35, 35)))
 
 
-def _contexts(texts: list[str]) -> tuple[Counter, int]:
-    """(words by their distinct next words, number of distinct pairs): what copies repeat counts once. Pairs are held as hashes."""
-    seen: set[int] = set()
-    words: Counter = Counter()
+def joined(texts: list[np.ndarray], limit: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The texts in blocks of about `limit` bytes, a zero byte after each."""
+    held, size = [], 0
     for t in texts:
-        w = t.encode().translate(_LOWER.tobytes()).split()
-        for pair in zip(w, [*w[1:], b""]):
-            k = hash(pair)
-            if k not in seen:
-                seen.add(k)
-                words[pair[0]] += 1
-    return words, len(seen)
-
-
-def contrast(toxic: list[str], ordinary: list[str], support: float = 0.002, odds: float = 2.5, size: int = 1024) -> bytes:
-    """The toxic dictionary: the fragments of words whose distinct contexts are most over-represented in toxic texts."""
-    low, high = FRAGMENT
-
-    def count(words: Counter, only: set | None = None) -> Counter:
-        found: Counter = Counter()
-        for w, k in words.items():
-            w = b" " + w + b" "
-            for n in range(low, min(len(w), high) + 1):
-                if only is None or w[:n] in only:
-                    found[w[:n]] += k
-        return found
-
-    (a, n_a), (b, n_b) = _contexts(toxic), _contexts(ordinary)
-    least = max(8, support * len(toxic))
-    there = {f: k for f, k in count(a).items() if k >= least}
-    other = count(b, set(there))
-    gain = {f: k * x for f, k in there.items() if (x := np.log((k + 0.5) / n_a) - np.log((other[f] + 0.5) / max(1, n_b))) > odds}
-    chosen: dict[bytes, int] = {}
-    for f in sorted(gain, key=lambda f: (-gain[f], -len(f), f)):
-        if any(f.startswith(c) and there[f] < 0.8 * n or c.startswith(f) and n >= 0.8 * there[f] for c, n in chosen.items()):
-            continue  # a longer form of a fragment that has most uses, or a shorter form of one that loses none
-        for c in [c for c in chosen if f.startswith(c)]:
-            del chosen[c]
-        if sum(map(len, chosen)) + len(f) > size:
-            break
-        chosen[f] = there[f]
-    return b"".join(reversed(chosen))
+        held += [t, np.zeros(1, np.uint8)]
+        size += len(t) + 1
+        if size >= limit:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def gram_buckets(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each place's gram, whether it lies in one text) of a block."""
+    n = max(0, len(block) - GRAM + 1)
+    x = block.astype(np.uint64)
+    g = np.zeros(n, np.uint64)
+    inside = np.ones(n, bool)
+    for j in range(GRAM):
+        g = g << np.uint64(8) | x[j : j + n]
+        inside &= block[j : j + n] > 0
+    return mix64(g), inside
+
+
+def gram_contexts(texts: list[np.ndarray]) -> np.ndarray:
+    """Per hash bucket the number of distinct contexts (the next six bytes) of its grams, by a bitmap of fixed size."""
+    counts = np.zeros(1 << _GRAM_BITS, np.uint32)
+    seen = np.zeros(1 << (_SEEN_BITS - 3), np.uint8)
+    for block in joined(texts):
+        h, inside = gram_buckets(block)
+        after = np.zeros(len(h), np.uint64)
+        after[: max(0, len(h) - GRAM)] = h[GRAM:]
+        h, after = h[inside], after[inside]
+        context, first = np.unique(mix64(h + after * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SEEN_BITS), return_index=True)
+        at, bit = (context >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (context & np.uint64(7)).astype(np.uint8))
+        new = seen[at] & bit == 0
+        if not new.any():
+            continue
+        at, bit = at[new], bit[new]
+        start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        seen[at[start]] |= np.bitwise_or.reduceat(bit, start)
+        counts += np.bincount((h[first[new]] >> np.uint64(64 - _GRAM_BITS)).astype(np.int64), minlength=1 << _GRAM_BITS).astype(np.uint32)
+    return counts
+
+
+def leaning(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """Which buckets surely are more frequent in toxic text."""
+    a, b = toxic.astype(np.float32) + np.float32(0.5), ordinary.astype(np.float32) + np.float32(0.5)
+    odds = np.log(a / (toxic.sum() + 1.0)) - np.log(b / (ordinary.sum() + 1.0))
+    return (toxic >= LEAST) & (odds - DEVIATIONS * np.sqrt(1 / a + 1 / b) > ODDS)
+
+
+def leaning_stretches(texts: list[np.ndarray], lean: np.ndarray) -> list[bytes]:
+    """The maximal byte runs that leaning grams cover."""
+    out = []
+    for block in joined(texts):
+        h, inside = gram_buckets(block)
+        at = np.flatnonzero(lean[(h >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)] & inside)
+        if not len(at):
+            continue
+        cover = np.zeros(len(block) + 1, np.int32)
+        cover[at] += 1
+        cover[at + GRAM] -= 1
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]]).astype(np.int8)))
+        raw = block.tobytes()
+        out += [raw[a:b] for a, b in zip(edges[::2], edges[1::2])]
+    return out
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a dictionary that zstandard's trainer makes of the samples; their own bytes where they are too few or too short for it."""
+    size = max(256, min(size, sum(map(len, samples)) // 4))
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b" ".join(dict.fromkeys(samples))[-size:]
+
+
+def ordinary_windows(texts: list[np.ndarray]) -> list[bytes]:
+    """Windows of the texts, at most TRAINER_WINDOWS, evenly spaced."""
+    out = []
+    for block in joined(texts):
+        starts, ends, _ = windows(block, np.array([0, len(block)]))
+        raw = block.tobytes()
+        out += [raw[a:b] for a, b in zip(starts, ends)]
+    return out[:: max(1, -(-len(out) // TRAINER_WINDOWS))]
+
+
+def calibrated(hist: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """(evidence of each difference, weights and bias of a text's log odds) from texts of both classes, weighted to the classes' shares among all labels."""
+    by_class = [hist[y == k].sum(0) + 1 for k in (0, 1)]
+    evidence = np.log(by_class[1] / by_class[1].sum()) - np.log(by_class[0] / by_class[0].sum())
+    x = features(hist, evidence)
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    w = platt((x - mean) / scale, y, np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum()) * len(y))
+    return evidence, np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
 def fit(rows: list[tuple[str, int]], counts: dict[int, int]) -> Model:
-    """Dictionaries from two thirds of the rows, calibration on the rest, weighted to the classes' shares among all labels."""
+    """Two pairs of dictionaries: each is trained on all folds but one, which calibrates it."""
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
-    part = {(y, k): [t for i, t in enumerate(t for t, z in rows if z == y) if (i % 3 == 2) == k] for y in (0, 1) for k in (False, True)}
-    if not all(part.values()):
-        return Model(b"", b"", None, prior)
-    samples = [w.encode().translate(_LOWER.tobytes()) for t in part[0, False] for w in (t[i : i + 64] for i in range(0, len(t), 64))]
-    try:
-        plain = zstandard.train_dictionary(256, samples[:40000], k=32, d=6).as_bytes()[-256:]
-    except zstandard.ZstdError:  # too few or too short samples for the trainer: their own bytes
-        plain = b" ".join(samples)[:256]
-    pad = b"\n" * 16
-    primer = _PRIMER.tobytes()
-    model = Model(plain + primer + pad, primer + contrast(part[1, False], part[0, False]) + pad, None, prior)
-    compressors = model.compressors()
-    x, y = [], []
-    for z in (0, 1):
-        for t in part[z, True]:
-            b = np.frombuffer(t.encode(), np.uint8)
-            x.append(model.features(_LOWER[b], np.array([0, len(b)]), compressors)[0])
-            y.append(z)
-    x, y = np.array(x), np.array(y)
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
-    w = platt((x - mean) / scale, y, weight)
-    model.weights = np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
+    texts = {y: [_LOWER[np.frombuffer(t.encode(), np.uint8)] for t in dict.fromkeys(t for t, z in rows if z == y)] for y in (0, 1)}
+    model = Model([], [], [], prior)
+    if min(len(t) for t in texts.values()) < FOLDS:
+        return model
+    grams = {(y, f): gram_contexts(texts[y][f::FOLDS]) for y in (0, 1) for f in range(FOLDS)}
+    whole = {y: sum(grams[y, f] for f in range(FOLDS)) for y in (0, 1)}
+    for f in range(FOLDS - 1):
+        ordinary, toxic = ([t for i, t in enumerate(texts[y]) if i % FOLDS != f] for y in (0, 1))
+        lean = leaning(whole[1] - grams[1, f], whole[0] - grams[0, f])
+        pair = trained(ordinary_windows(ordinary), ORDINARY_SIZE, 32), trained(leaning_stretches(toxic, lean), TOXIC_SIZE, 16)
+        compressors = Model([pair], [], [], prior).compressors()
+        rest = [(t, y) for y in (0, 1) for t in texts[y][f::FOLDS]]
+        hist = np.array([histograms(t, np.array([0, len(t)]), compressors)[0, 0] for t, _ in rest])
+        evidence, weights = calibrated(hist, np.array([y for _, y in rest]), prior)
+        model.pairs.append(pair)
+        model.evidence.append(evidence)
+        model.weights.append(weights)
     return model
 
 
@@ -213,7 +278,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*training_rows(docs, labels, "toxic", ROWS_PER_CLASS, CHARS))
+    return fit(*training_rows(docs, labels, "toxic", ROWS_PER_CLASS, BYTES_PER_CLASS))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
