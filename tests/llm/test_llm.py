@@ -455,19 +455,22 @@ def test_raking_meets_its_targets(spark):
     rng = random.Random(1)
     cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", rng.randint(1, 1000)) for i in range(5) for j in range(3) for k in range(2)], "source string, lang string, topic string, base long")
     targets = {d: mixing.default_targets(cells, d, 0.5) for d in mixing.DIMS}
-    out = mixing.rake(cells, targets, 30)
+    out = mixing.rake(cells, targets)
     total = out.agg(F.sum("weight")).first()[0]
     assert total == pytest.approx(cells.agg(F.sum("base")).first()[0])
     for d in mixing.DIMS:
         for r in out.groupBy(d).agg(F.sum("weight").alias("w")).join(targets[d], d).collect():
             assert r.w / total == pytest.approx(r.target, rel=1e-6)
-    p = mixing.with_rate(out, 0.6, 8)
-    assert p.agg(F.sum(F.col("base") * F.col("probability"))).first()[0] == pytest.approx(0.6 * total, rel=1e-6)
+    p = mixing.with_rate(out, 0.6).toPandas()
+    rate = min(0.6, 1 / p.ratio.max())
+    assert (p.base * p.probability).sum() == pytest.approx(rate * total, rel=1e-6) and p.probability.max() <= 1
+    joined = mixing.rake(cells, targets, few=False).toPandas().set_index(list(mixing.DIMS)).weight
+    assert (joined / out.toPandas().set_index(list(mixing.DIMS)).weight - 1).abs().max() < 1e-8
 
 
-def skewed_cells(spark):
-    """Sources that nearly keep to one language each, one of them hot: five sweeps do not do."""
-    rows = [(f"s{i}", f"l{j}", f"t{k}", (50_000 if i == 0 else 40 * (i + 1)) if j == i % 4 else 1 + (i + k) % 2) for i in range(30) for j in range(4) for k in range(3)]
+def skewed_cells(spark, thin=1):
+    """Sources that nearly keep to one language each, one of them hot: a few sweeps do not do."""
+    rows = [(f"s{i}", f"l{j}", f"t{k}", (50_000 if i == 0 else 40 * (i + 1)) if j == i % 4 else thin + (i + k) % 2) for i in range(30) for j in range(4) for k in range(3)]
     return spark.createDataFrame(rows, "source string, lang string, topic string, base long")
 
 
@@ -477,10 +480,29 @@ def margin_errors(cells, targets, column="weight"):
 
 
 def test_raking_goes_on_until_the_margins_hold(spark):
-    cells = skewed_cells(spark)
+    cells = skewed_cells(spark, 40)
     targets = {d: mixing.default_targets(cells, d, mixing.POWERS[d]) for d in mixing.DIMS}
-    assert max(margin_errors(mixing.rake(cells, targets), targets).values()) > 100 * mixing.TOLERANCE
-    assert max(margin_errors(mixing.rake(cells, targets, tolerance=mixing.TOLERANCE), targets).values()) < 2 * mixing.TOLERANCE
+    assert max(margin_errors(mixing.rake(cells, targets), targets).values()) < 1e-8
+
+
+def test_sample_has_the_targets(spark):
+    """Expected margins of the sample, as op9 takes it, on the 0.1 table: defaults, then targets that are given."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    given = {"topic": {"brief": 0.1, "prose": 0.5, "long": 0.4, "nowhere": 0.2}, "lang": {"en": 3, "de": 1}}
+    for targets in (None, given):
+        got = mixing.weigh(docs, targets).toPandas()
+        kept = got.tokens * got.probability
+        assert got.probability.between(0, 1).all()
+        for d in mixing.DIMS:
+            if targets and d in targets:
+                want = {k: v for k, v in targets[d].items() if k != "nowhere"}
+            else:
+                want = (got.groupby(d).tokens.sum() ** mixing.POWERS[d]).to_dict()
+            share = kept.groupby(got[d]).sum() / kept.sum()
+            assert all(share.get(k, 0) == pytest.approx(v / sum(want.values()), rel=0.01) for k, v in want.items() if v)
+            assert share[[k for k in share.index if k not in want]].sum() < 1e-9
+        drawn = (got.tokens * got.sampled).groupby(got.topic).sum() / (got.tokens * got.sampled).sum()
+        assert (drawn - kept.groupby(got.topic).sum() / kept.sum()).abs().max() < 0.03
 
 
 @pytest.mark.parametrize("keep", [0.6, mixing.KEEP])
@@ -494,7 +516,7 @@ def test_sample_has_its_target_margins(spark, keep):
     found = {d: cells.groupBy(d).agg(F.sum("base").alias("n")).toPandas().set_index(d).n for d in mixing.DIMS}
 
     def distances(**setting):
-        got = rows.join(mixing.cell_probabilities(rows, keep, **setting), [f"_mix_{d}" for d in mixing.DIMS]).toPandas()
+        got = rows.join(mixing.cell_probabilities(rows, keep=keep, **setting), [f"_mix_{d}" for d in mixing.DIMS]).toPandas()
         assert got._mix_probability.between(0, 1).all()
         kept = got._mix_tokens * got._mix_probability
         assert kept.sum() == pytest.approx(keep * got._mix_tokens.sum(), rel=1e-4)
@@ -510,17 +532,16 @@ def test_sample_has_its_target_margins(spark, keep):
             out = max(out, (share / target - 1).abs().max())
         return out
 
-    assert distances() > 100 * mixing.TOLERANCE
-    assert distances(tolerance=mixing.TOLERANCE) < 2 * mixing.TOLERANCE
+    assert distances(bounded=True) < 2 * mixing.BOUNDED_TOLERANCE
 
 
 def test_raking_says_when_targets_contradict(spark):
     cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, base long")
     shares = {"source": [("a", 0.5), ("b", 0.5)], "lang": [("x", 0.9), ("y", 0.1)], "topic": [("t", 1.0)]}
     with pytest.warns(UserWarning, match="margin error"):  # sources of one language have too little of the others
-        mixing.rake(skewed_cells(spark), {d: mixing.default_targets(skewed_cells(spark), d, mixing.POWERS[d]) for d in mixing.DIMS}, tolerance=mixing.TOLERANCE, keep=mixing.KEEP)
+        mixing.rake(skewed_cells(spark), {d: mixing.default_targets(skewed_cells(spark), d, mixing.POWERS[d]) for d in mixing.DIMS}, keep=mixing.KEEP)
     with pytest.warns(UserWarning, match="margin error"):
-        mixing.rake(cells, {d: spark.createDataFrame(v, f"{d} string, target double") for d, v in shares.items()}, tolerance=mixing.TOLERANCE)
+        mixing.rake(cells, {d: spark.createDataFrame(v, f"{d} string, target double") for d, v in shares.items()})
 
 
 def test_mixing_edge_rows(spark):

@@ -1,27 +1,30 @@
 """Mixing sources to target weights by iterative proportional fitting; DataFrame operations only.
 
 Documents are counted in cells of (source, language, topic), by tokens. The cells' token weights are raked: each sweep
-scales them to the targets of one margin after the other: as often as OP9_SQL writes out, or, with a tolerance (the
-pipeline), until all three margins hold. A cell's weight over its tokens is its ratio; a document is kept with probability min(1, rate * ratio), where the rate is solved so that the expected
-tokens are the wanted share of all. That clips cells at 1 and refills by the total only, so the sample misses margins.
-With a tolerance the weights are raked under the bound that no probability exceeds 1 instead: the expected sample has
+scales them to the targets of one margin after the other, until all margins hold within a tolerance. Targets are given
+({dimension: {value: share}}), or flatten the found shares. A cell's weight over its tokens is its ratio. A document is
+kept with probability rate * ratio, where the rate is the wanted share of all tokens or, if it is less, that at which the largest ratio
+makes probability 1: no probability is clipped, so the expected sample has the raked margins.
+With `bounded` (the pipeline) the sample keeps the wanted share instead: weights are raked under the bound that no
+probability exceeds 1. The expected sample has
 the target margins, where the found tokens suffice; a value with too few is kept whole, its remainder is dealt to the
 other values in proportion, and a warning gives its size. The draw is a hash of the id and a seed: it can be repeated, and copies of a row
 share their fate.
 
 Only cells, never documents, are iterated on; sums are pre-aggregated, so a source that holds a third of all rows is
-one row of the cell table, and cells are broadcast to the documents as long as their counted number allows it.
+one row of the cell table. Where the counted cells are few, sweeps run in one partition without a shuffle and cells are broadcast to
+the documents; beyond that margins are aggregated and joined. Both ways give the same weights.
 
 Defined results: null source or language is a class of its own, `(none)`; null and empty texts have 0 tokens and the
 topic `empty`; a cell without tokens has ratio 1. A null id is drawn as the text `null`. Repeated rows are weighed each.
-Names of other columns may clash with nothing but those that start with `_mix_`. An empty table gives an empty result.
+A value without a given target loses its weight. Names of other columns may clash with nothing but those that start with `_mix_`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import shared_dir, stored, table
@@ -29,12 +32,12 @@ from tidemark.llm.common import shared_dir, stored, table
 DIMS = ("source", "lang", "topic")
 #: Targets flatten the found shares: share ** power, brought to sum 1.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
-SWEEPS, ROUNDS, KEEP, SEED = 5, 4, 0.75, "mix-1"
-#: The largest relative margin error that counts as met, where raking goes on until the margins hold, and the most sweeps for it.
-TOLERANCE, MOST_SWEEPS = 1e-5, 200
-#: Raking has stalled, and says so, when this many sweeps lower the error by less than a hundredth.
-STALL = 10
-#: Cells that are broadcast at most; some 100 bytes each.
+KEEP, SEED = 0.75, "mix-1"
+#: The largest relative margin error that counts as met, and the sweeps after which contradicting targets are given up, with a warning.
+TOLERANCE, BOUNDED_TOLERANCE, MOST_SWEEPS = 1e-9, 1e-5, 60
+#: Sweeps between two looks at the error, where the cells are few.
+CHAIN = 5
+#: Cells that are raked in one partition and broadcast at most; some 100 bytes each.
 BROADCAST_CELLS = 50_000
 
 
@@ -90,22 +93,31 @@ def _bounded(cells: DataFrame, keep: float | None) -> DataFrame:
     return cells if keep is None else cells.withColumn("weight", F.least("weight", F.col("base") / F.lit(keep)))
 
 
-def _bounded_step(cells: DataFrame, dim: str, total: float, keep: float) -> DataFrame:
-    """cells with `weight`, before the bound, scaled so that what is under the bound fills up what the capped cells leave of the margin."""
-    bound, aim = F.col("base") / F.lit(keep), F.coalesce(F.col(f"target_{dim}"), F.lit(0.0)) * F.lit(total)
-    capped = F.col("weight") >= bound
-    sums = cells.groupBy(dim).agg(F.sum(F.least("weight", bound)).alias("margin"), F.sum(F.when(capped, bound).otherwise(0.0)).alias("full"), F.sum(F.when(capped, 0.0).otherwise(F.col("weight"))).alias("loose"))
-    factor = F.when((F.col("margin") <= 0) | (aim <= 0), 0.0).when((F.col("loose") > 0) & (aim > F.col("full")), (aim - F.col("full")) / F.col("loose")).otherwise(aim / F.col("margin"))
-    return cells.join(sums, dim).withColumn("weight", F.col("weight") * factor).drop("margin", "full", "loose")
+def _step(cells: DataFrame, dim: str, total: float, keep: float | None, few: bool) -> DataFrame:
+    """cells with `weight` scaled to the targets of one dimension; with keep so that what is under its bound fills up what capped cells leave of the margin."""
+    aim = F.coalesce(F.col(f"target_{dim}"), F.lit(0.0)) * F.lit(total)
+    margin, full, loose, factor = F.col("weight"), None, None, None
+    if keep is not None:
+        bound = F.col("base") / F.lit(keep)
+        capped = F.col("weight") >= bound
+        margin, full, loose = F.least("weight", bound), F.when(capped, bound).otherwise(0.0), F.when(capped, 0.0).otherwise(F.col("weight"))
+    sums = {"margin": margin} | ({} if keep is None else {"full": full, "loose": loose})
+    if few:  # one partition: no shuffle
+        out = cells.select("*", *[F.sum(c).over(Window.partitionBy(dim)).alias(n) for n, c in sums.items()])
+    else:
+        out = cells.join(cells.groupBy(dim).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), dim)
+    factor = F.when((F.col("margin") <= 0) | (aim <= 0), 0.0)
+    if keep is not None:
+        factor = factor.when((F.col("loose") > 0) & (aim > F.col("full")), (aim - F.col("full")) / F.col("loose"))
+    return out.withColumn("weight", F.col("weight") * factor.otherwise(aim / F.col("margin"))).drop(*sums)
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float | None = None, keep: float | None = None) -> DataFrame:
-    """cells (dims, base) with `weight`: raked to the targets of each dimension, the total unchanged.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, keep: float | None = None, few: bool | None = None) -> DataFrame:
+    """cells (dims, base) with `weight`: raked to the targets of each dimension until the largest relative margin error is below the tolerance, the total unchanged.
 
-    A value without a target loses its weight; a target without tokens is left out. Without a tolerance exactly `sweeps`
-    sweeps are made; with one, as many as bring the largest relative margin error below it. Targets that contradict each
-    other cannot be met: then raking stops where the error no longer falls, and warns with the error that is left.
-    With keep no weight exceeds base / keep, so that keep * weight / base is a probability.
+    A value without a target loses its weight; a target without tokens is left out. Targets that contradict each other
+    cannot be met: then raking ends after MOST_SWEEPS and warns with the error that is left. With keep no weight exceeds
+    base / keep, so that keep * weight / base is a probability. few: by default whether the counted cells are.
     """
     shared_dir(cells.sparkSession)
     total = float(cells.agg(F.sum("base")).first()[0] or 0)
@@ -113,43 +125,32 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     for dim, target in targets.items():
         out = out.join(target.withColumnRenamed("target", f"target_{dim}"), dim, "left")
     out = out.checkpoint()
-    if tolerance is not None:
-        # many sweeps: as few files as the counted cells need, not one for each shuffle partition at every step
-        parts = 1 + out.count() // BROADCAST_CELLS
-        out = out.coalesce(parts)
-    errors = []
-    for _ in range(sweeps if tolerance is None else MOST_SWEEPS):
-        for dim in targets:
-            if keep is not None and tolerance is not None:
-                out = _bounded_step(out, dim, total, keep).coalesce(parts).checkpoint()
-                continue
-            margin = out.groupBy(dim).agg(F.sum("weight").alias("margin"))
-            factor = F.when(F.col("margin") > 0, F.coalesce(F.col(f"target_{dim}"), F.lit(0.0)) * F.lit(total) / F.col("margin")).otherwise(0.0)
-            # each step reads the one before twice: without a cut the reads would double at every step
-            out = out.join(margin, dim).withColumn("weight", F.col("weight") * factor).drop("margin")
-            out = (out if tolerance is None else out.coalesce(parts)).checkpoint()
-        if tolerance is None:
-            continue
-        errors.append(margin_error(_bounded(out, keep), list(targets), total))
-        if errors[-1] < tolerance:
-            break
-        if len(errors) > STALL and errors[-1] > 0.99 * errors[-1 - STALL]:
+    count = out.count()
+    few = count <= BROADCAST_CELLS if few is None else few
+    parts = 1 + count // BROADCAST_CELLS
+    error, sweeps = 0.0, 0
+    while sweeps < MOST_SWEEPS:
+        out = out.coalesce(1 if few else parts)
+        for _ in range(CHAIN if few else 1):
+            for dim in targets:
+                out = _step(out, dim, total, keep, few)
+                if not few:  # each step reads the one before twice: without a cut the reads would double at every step
+                    out = out.coalesce(parts).checkpoint()
+            sweeps += 1
+        out = out.checkpoint()
+        error = margin_error(_bounded(out, keep), list(targets), total)
+        if error < tolerance:
             break
-    if errors and errors[-1] >= tolerance:
-        warnings.warn(f"raking stopped after {len(errors)} sweeps with a margin error of {errors[-1]:.2g}, tolerance {tolerance:.2g}: the targets may contradict each other", stacklevel=2)
+    else:
+        warnings.warn(f"raking stopped after {sweeps} sweeps with a margin error of {error:.2g}, tolerance {tolerance:.2g}: the targets may contradict each other", stacklevel=2)
     return _bounded(out, keep).drop(*[f"target_{d}" for d in targets])
 
 
-def with_rate(cells: DataFrame, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """cells with `ratio` and `probability`: min(1, rate * ratio), the rate by filling up what capped cells leave over."""
+def with_rate(cells: DataFrame, keep: float = KEEP) -> DataFrame:
+    """cells with `ratio` and `probability`: rate * ratio, with the largest rate up to keep that leaves every probability at 1 or below."""
     cells = cells.withColumn("ratio", F.when(F.col("base") > 0, F.col("weight") / F.col("base")).otherwise(1.0))
-    rate = keep
-    for _ in range(rounds):
-        capped = F.col("ratio") * F.lit(rate) >= 1
-        full, loose, every = cells.agg(F.sum(F.when(capped, F.col("base")).otherwise(0)), F.sum(F.when(capped, 0.0).otherwise(F.col("weight"))), F.sum("base")).first()
-        if not loose:
-            break
-        rate = (keep * every - full) / loose
+    most = cells.where("base > 0").agg(F.max("ratio")).first()[0] or 0.0
+    rate = keep if keep * most <= 1 else 1 / most
     return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(rate) * F.col("ratio")))
 
 
@@ -158,19 +159,26 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_mix_source": F.coalesce(F.col("source").cast("string"), F.lit("(none)")), "_mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit("(none)")), "_mix_topic": topic_of(F.col("text")), "_mix_tokens": tokens_of(F.col("text"))})
 
 
-def cell_probabilities(rows: DataFrame, keep: float = KEEP, sweeps: int = SWEEPS, tolerance: float | None = None) -> DataFrame:
-    """(_mix_source, _mix_lang, _mix_topic, ratio, probability)."""
+def cell_probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, bounded: bool = False) -> DataFrame:
+    """(_mix_source, _mix_lang, _mix_topic, ratio, probability). targets: shares of the values of any dimensions; the others flatten the found shares."""
+    spark = rows.sparkSession
     cells = rows.groupBy(*[F.col(f"_mix_{d}").alias(d) for d in DIMS]).agg(F.sum("_mix_tokens").alias("base")).checkpoint()
-    targets = {d: default_targets(cells, d, POWERS[d]) for d in DIMS}
-    if tolerance is None:
-        cells = with_rate(rake(cells, targets, sweeps), keep)
-    else:
-        for d in DIMS:
-            targets[d], moved = reachable(cells, d, targets[d], keep)
+    aims = {}
+    for d in DIMS:
+        given = (targets or {}).get(d)
+        if given is None:
+            aims[d] = default_targets(cells, d, POWERS[d])
+        else:
+            whole = sum(given.values())
+            found = spark.createDataFrame([(k, float(v) / whole) for k, v in given.items()], f"{d} string, target double").join(cells.where("base > 0").select(d).distinct(), d, "left_semi")
+            there = found.agg(F.sum("target")).first()[0] or 1.0
+            aims[d] = found.withColumn("target", F.col("target") / F.lit(there))
+        if bounded:
+            aims[d], moved = reachable(cells, d, aims[d], keep)
             if moved > 0:
                 warnings.warn(f"{moved:.2%} of the tokens wanted by {d} are not there at a share of {keep} and go to its other values", stacklevel=2)
-        # under the bound keep * ratio is a probability: no round of refilling
-        cells = with_rate(rake(cells, targets, tolerance=tolerance, keep=keep), keep, 0)
+    # under the bound keep * ratio is a probability
+    cells = with_rate(rake(cells, aims, BOUNDED_TOLERANCE if bounded else TOLERANCE, keep if bounded else None), keep)
     return cells.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMS], F.col("ratio").alias("_mix_ratio"), F.col("probability").alias("_mix_probability"))
 
 
@@ -179,20 +187,20 @@ def _small(cells: DataFrame) -> DataFrame:
     return F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
 
 
-def weigh(docs: DataFrame, keep: float = KEEP, seed: str = SEED, tolerance: float | None = None) -> DataFrame:
+def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: str = SEED, bounded: bool = False) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, ratio, probability, sampled) for every row."""
     shared_dir(docs.sparkSession)
     rows = stored(keyed(docs).select("doc_id", *[f"_mix_{d}" for d in DIMS], "_mix_tokens"))
-    cells = cell_probabilities(rows, keep, tolerance=tolerance)
+    cells = cell_probabilities(rows, targets, keep, bounded)
     out = rows.join(_small(cells), [f"_mix_{d}" for d in DIMS])
     return out.select("doc_id", *[F.col(f"_mix_{d}").alias(d) for d in DIMS], F.col("_mix_tokens").alias("tokens"), F.round("_mix_ratio", 6).alias("ratio"), F.round("_mix_probability", 6).alias("probability"), (draw(F.col("doc_id"), seed) < F.col("_mix_probability")).cast("int").alias("sampled"))
 
 
-def sample_mixture(docs: DataFrame, keep: float = KEEP, seed: str = SEED, tolerance: float | None = None) -> DataFrame:
+def sample_mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: str = SEED, bounded: bool = False) -> DataFrame:
     """The sampled rows of docs; all columns stay as they are."""
     shared_dir(docs.sparkSession)
     rows = keyed(docs)
-    cells = cell_probabilities(rows, keep, tolerance=tolerance)
+    cells = cell_probabilities(rows, targets, keep, bounded)
     out = rows.drop("_mix_tokens").join(_small(cells.drop("_mix_ratio")), [f"_mix_{d}" for d in DIMS]).where(draw(F.col("doc_id"), seed) < F.col("_mix_probability"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -202,7 +210,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_sql(documents: str = "documents") -> str:
-    """The same in SQL, the sweeps written out."""
+    """The same in SQL: sweeps by recursion, as many as are made at most (raking that has converged changes nothing more)."""
     lines = "length(text) - length(replace(text, chr(10), '')) + 1"
     ctes = [f"""rows_ AS MATERIALIZED (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
  CASE WHEN text IS NULL OR length(text) = 0 THEN 'empty' WHEN contains(text, ' | ') THEN 'table' WHEN ({lines}) * 120 > length(text) THEN 'list'
@@ -212,17 +220,15 @@ def mixing_sql(documents: str = "documents") -> str:
         "total AS (SELECT CAST(sum(base) AS DOUBLE) AS n FROM c0)"]
     for d in DIMS:
         ctes.append(f"t_{d} AS MATERIALIZED (SELECT {d}, n / sum(n) OVER () AS target FROM (SELECT {d}, pow(CAST(sum(base) AS DOUBLE), {POWERS[d]}) AS n FROM c0 GROUP BY {d} HAVING sum(base) > 0))")
-    k = 0
-    for _ in range(SWEEPS):
-        for d in DIMS:
-            ctes.append(f"c{k + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.base, CASE WHEN m > 0 THEN weight * (coalesce(t.target, 0) * (SELECT n FROM total) / m) ELSE 0 END AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY {d}) AS m FROM c{k}) c LEFT JOIN t_{d} t ON c.{d} = t.{d})")
-            k += 1
-    ctes.append(f"r AS MATERIALIZED (SELECT *, CASE WHEN base > 0 THEN weight / base ELSE 1 END AS ratio FROM c{k})")
-    ctes.append(f"rate0 AS (SELECT CAST({KEEP} AS DOUBLE) AS rate)")
-    for i in range(ROUNDS):
-        ctes.append(f"rate{i + 1} AS MATERIALIZED (SELECT CASE WHEN loose > 0 THEN ({KEEP} * every - filled) / loose ELSE rate END AS rate FROM (SELECT any_value(rate) AS rate, sum(CASE WHEN ratio * rate >= 1 THEN base ELSE 0 END) AS filled, sum(CASE WHEN ratio * rate >= 1 THEN 0 ELSE weight END) AS loose, sum(base) AS every FROM r, rate{i}))")
-    ctes.append(f"p AS (SELECT *, least(1.0, (SELECT rate FROM rate{ROUNDS}) * ratio) AS probability FROM r)")
-    return "WITH " + ",\n".join(ctes) + f"""
+    aims = ", ".join(f"coalesce({d}_.target, 0) * (SELECT n FROM total) AS aim_{d}" for d in DIMS)
+    joins = " ".join(f"LEFT JOIN t_{d} {d}_ ON c0.{d} = {d}_.{d}" for d in DIMS)
+    ctes.append(f"aimed AS MATERIALIZED (SELECT c0.source, c0.lang, c0.topic, c0.base, c0.weight, {aims} FROM c0 {joins})")
+    step = " ".join(f"WHEN {k} THEN CASE WHEN sum(weight) OVER (PARTITION BY {d}) > 0 THEN aim_{d} / sum(weight) OVER (PARTITION BY {d}) ELSE 0 END" for k, d in enumerate(DIMS))
+    ctes.append(f"raked AS (SELECT 0 AS k, * FROM aimed UNION ALL SELECT k + 1, source, lang, topic, base, weight * CASE k % {len(DIMS)} {step} END, {', '.join(f'aim_{d}' for d in DIMS)} FROM raked WHERE k < {len(DIMS) * MOST_SWEEPS})")
+    ctes.append(f"r AS MATERIALIZED (SELECT *, CASE WHEN base > 0 THEN weight / base ELSE 1 END AS ratio FROM raked WHERE k = {len(DIMS) * MOST_SWEEPS})")
+    ctes.append("most AS (SELECT coalesce(max(ratio), 0) AS m FROM r WHERE base > 0)")
+    ctes.append(f"p AS (SELECT *, least(1.0, CASE WHEN {KEEP} * (SELECT m FROM most) <= 1 THEN {KEEP} ELSE 1 / (SELECT m FROM most) END * ratio) AS probability FROM r)")
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"""
 SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(p.ratio, 6) AS ratio, round(p.probability, 6) AS probability,
  CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0 < p.probability AS INTEGER) AS sampled
 FROM rows_ d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"""
