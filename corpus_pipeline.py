@@ -16,7 +16,7 @@ import tidemark
 from tidemark.llm.common import shared_dir, table
 from tidemark.llm.decontamination import drop_contaminated
 from tidemark.llm.jaccard_join import keep_first_of_groups
-from tidemark.llm.mixing import TOLERANCE, sample_mixture
+from tidemark.llm.mixing import sample_mixture
 from tidemark.llm.sharding import shard_by_curve
 from tidemark.llm.toxicity import drop_toxic
 
@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled with the probabilities that bring sources, languages and topics to their targets."""
-    return sample_mixture(docs, tolerance=TOLERANCE)
+    return sample_mixture(docs, bounded=True)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
