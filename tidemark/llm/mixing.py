@@ -95,21 +95,18 @@ def _bounded(cells: DataFrame, keep: float | None) -> DataFrame:
 
 def _step(cells: DataFrame, dim: str, total: float, keep: float | None, few: bool) -> DataFrame:
     """cells with `weight` scaled to the targets of one dimension; with keep so that what is under its bound fills up what capped cells leave of the margin."""
-    aim = F.coalesce(F.col(f"target_{dim}"), F.lit(0.0)) * F.lit(total)
-    margin, full, loose, factor = F.col("weight"), None, None, None
+    aim, bound = f"coalesce(target_{dim}, 0D) * {total!r}D", f"base / {keep!r}D"
+    sums = {"margin": "weight"}
     if keep is not None:
-        bound = F.col("base") / F.lit(keep)
-        capped = F.col("weight") >= bound
-        margin, full, loose = F.least("weight", bound), F.when(capped, bound).otherwise(0.0), F.when(capped, 0.0).otherwise(F.col("weight"))
-    sums = {"margin": margin} | ({} if keep is None else {"full": full, "loose": loose})
+        sums = {"margin": f"least(weight, {bound})", "full": f"CASE WHEN weight >= {bound} THEN {bound} ELSE 0D END", "loose": f"CASE WHEN weight >= {bound} THEN 0D ELSE weight END"}
     if few:  # one partition: no shuffle
-        out = cells.select("*", *[F.sum(c).over(Window.partitionBy(dim)).alias(n) for n, c in sums.items()])
+        sums = {n: f"sum({c}) OVER (PARTITION BY {dim})" for n, c in sums.items()}
     else:
-        out = cells.join(cells.groupBy(dim).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), dim)
-    factor = F.when((F.col("margin") <= 0) | (aim <= 0), 0.0)
-    if keep is not None:
-        factor = factor.when((F.col("loose") > 0) & (aim > F.col("full")), (aim - F.col("full")) / F.col("loose"))
-    return out.withColumn("weight", F.col("weight") * factor.otherwise(aim / F.col("margin"))).drop(*sums)
+        cells = cells.join(cells.groupBy(dim).agg(*[F.expr(f"sum({c})").alias(n) for n, c in sums.items()]), dim)
+        sums = {n: n for n in sums}
+    rest = "" if keep is None else f"WHEN {sums['loose']} > 0 AND {aim} > {sums['full']} THEN ({aim} - {sums['full']}) / {sums['loose']} "
+    factor = f"CASE WHEN {sums['margin']} <= 0 OR {aim} <= 0 THEN 0D {rest}ELSE {aim} / {sums['margin']} END"
+    return cells.selectExpr(*[c for c in cells.columns if c not in ("weight", "margin", "full", "loose")], f"weight * {factor} AS weight")
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, keep: float | None = None, few: bool | None = None) -> DataFrame:
