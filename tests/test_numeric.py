@@ -397,26 +397,28 @@ def test_constant_label_has_auroc_one(spark):
     assert r.auroc_mistakes == 1.0 and r.auroc_drift == 1.0 and r.first_drift == 0 and r.fpr_drift is None
 
 
-# ---------------------------------------------------------------- detectors, sources, pipelines
+# ---------------------------------------------------------------- scorers, sources, pipelines
 
 
 def test_every_detector_scores(spark, data):
     rows = probe_rows(spark, data).where("domain <= 1")
     n = rows.count()
-    for name in lifecycle.list_detectors():
+    for name in lifecycle.list_scorers():
         params = {"vim": {"top_k": 16}, "ssd": {"k": 2, "iterations": 3}, "gmm": {"k": 2}}.get(name, {})
-        got = lifecycle.create_detector(name, **params).fit(fit_rows(spark, data)).transform(rows)
+        got = lifecycle.create_scorer(name, **params).fit(fit_rows(spark, data)).transform(rows)
         assert got.where(F.col("score").isNotNull()).count() == n, name
     with pytest.raises(ValueError):
-        lifecycle.create_detector("nothing")
+        lifecycle.create_scorer("nothing")
     with pytest.raises(ValueError):
         lifecycle.hyperparameters("nothing")
-    assert lifecycle.hyperparameters("l1norm") == {} and "temperature" in lifecycle.hyperparameters("odin")
+    assert lifecycle.hyperparameters("l1norm") == {} and lifecycle.hyperparameters("odin")["eps"] == {"low": 0.0, "high": 0.005, "step": 0.0001}
+    assert all(lifecycle.hyperparameters(n) == {} or lifecycle.grid(n) for n in lifecycle.list_scorers())
+    assert [t["k"] for t in lifecycle.grid("knn_cosine") if t["avg_topk"]] == [1, 26, 51, 71, 96] and len(lifecycle.grid("mahalanobis")) == 6
 
 
 def test_detector_round_trip(spark, data, tmp_path):
     rows = probe_rows(spark, data).where("domain = 0")
-    fitted = lifecycle.create_detector("energy").with_params(temperature=2.0).fit(fit_rows(spark, data))
+    fitted = lifecycle.create_scorer("energy").with_params(temperature=2.0).fit(fit_rows(spark, data))
     fitted.save(str(tmp_path / "d"))
     again = lifecycle.load(spark, str(tmp_path / "d"))
     assert again.detector.params == {"temperature": 2.0}

@@ -119,13 +119,34 @@ def draw_key(seed: str, *cols: str | Column) -> Column:
 def partition_scores(df: DataFrame, sizes: list[int], samples: int, seed: str = "win") -> DataFrame:
     """(ws, w, id, score): for each size ws, samples // ws windows of ws rows drawn without replacement, afresh for each window.
 
-    A draw is the ws rows with the least md5 of (seed, ws, w, id); partial top-k keeps what is shuffled to ws rows a window and task.
+    A draw is the ws rows with the least md5 of (seed, ws, w, id). Keys are uniform, so only those below a bound that some
+    2 ws + 40 rows of a window pass are ranked; a window that fewer than ws rows pass is ranked over all its rows.
     """
     spark = df.sparkSession
-    plan = spark.createDataFrame([(ws, w) for ws in sizes for w in range(samples // ws)], "ws int, w int")
+    windows = [(ws, w) for ws in sizes for w in range(samples // ws)]
+    total = df.count()
+    bounds = {ws: f"{min((1 << 32) - 1, int((2 * ws + 40) / max(1, total) * (1 << 32))):08x}" for ws in sizes}
+
+    def keyed(which: list[tuple[int, int, str]]) -> DataFrame:
+        plan = spark.createDataFrame(which, "ws int, w int, bound string")
+        return df.crossJoin(F.broadcast(plan)).withColumn("key", draw_key(seed, "ws", "w", "id")).where(F.col("key") < F.col("bound"))
+
+    low = keyed([(ws, w, bounds[ws]) for ws, w in windows])
+    passed = {(r.ws, r.w): r["count"] for r in low.groupBy("ws", "w").count().collect()}
+    # "g" follows every hexadecimal digit: no bound
+    low = keyed([(ws, w, bounds[ws] if passed.get((ws, w), 0) >= ws else "g") for ws, w in windows])
     pick = Window.partitionBy("ws", "w").orderBy("key", "id", "score")
-    out = df.crossJoin(F.broadcast(plan)).withColumn("key", draw_key(seed, "ws", "w", "id")).withColumn("r", F.row_number().over(pick))
-    return out.where((F.col("r") <= F.lit(max(sizes))) & (F.col("r") <= F.col("ws"))).drop("r", "key")
+    return low.withColumn("r", F.row_number().over(pick)).where((F.col("r") <= F.lit(max(sizes))) & (F.col("r") <= F.col("ws"))).drop("r", "key", "bound")
+
+
+def split_reference(df: DataFrame, n: int, seed: str = "ref") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reference, validation, rest): disjoint; n rows each of the first two, by the md5 of (seed, id)."""
+    order = ["key", "id", "score"]
+    keyed = df.withColumn("key", draw_key(seed, "id"))
+    first = keyed.orderBy(*order).limit(2 * n).withColumn("r", F.row_number().over(Window.orderBy(*order)))  # 2 n rows
+    last = first.orderBy(F.desc("r")).select(*order).first()
+    after = F.lit(False) if last is None else F.struct(*order) > F.struct(*[F.lit(last[c]).alias(c) for c in order])
+    return (*[first.where(c).drop("key", "r") for c in (F.col("r") <= n, F.col("r") > n)], keyed.where(after).drop("key"))
 
 
 def mixture(inside: DataFrame, outside: DataFrame, share: float, seed: str = "mix") -> DataFrame:

@@ -269,7 +269,7 @@ def kmeans(df: DataFrame, k: int, iterations: int = 300, seed: str = "kmeans") -
     return centers
 
 
-def ssd(df: DataFrame, fit: DataFrame, k: int | None = None, iterations: int = 30, reg: float = 1e-8) -> DataFrame:
+def ssd(df: DataFrame, fit: DataFrame, k: int | None = None, iterations: int = 300, reg: float = 1e-8) -> DataFrame:
     """df with `score` = -min over k-means clusters of the Mahalanobis distance of the standardised unit vectors."""
     k = fit.select("label").distinct().count() if k is None else k
     unit = fit.withColumn("x", F.transform("x", lambda v: v / (vec.l2(F.col("x")) + 1e-10)))

@@ -51,13 +51,13 @@ def moments(df: DataFrame, by: str | None = None, x: str = "x", weight: str | No
             yield pd.DataFrame({"k": list(held), "n": [v[0] for v in held.values()], "s": [v[1].tolist() for v in held.values()], "xx": [v[2].ravel().tolist() for v in held.values()]})
 
     sums = rows.mapInPandas(partial, "k string, n double, s array<double>, xx array<double>")
-    # partials of the tasks are summed element by element before anything is collected
-    total = sums.groupBy("k").agg(F.sum("n").alias("n"))
-    s = sums.select("k", F.posexplode("s").alias("p", "v")).groupBy("k", "p").agg(F.sum("v").alias("v")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("s"))
-    xx = sums.select("k", F.posexplode("xx").alias("p", "v")).groupBy("k", "p").agg(F.sum("v").alias("v")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("xx"))
-    got = {r.k: r.n for r in total.collect()}
-    sv = {r.k: np.array([e.v for e in r.s]) for r in s.collect()}
-    xv = {r.k: np.array([e.v for e in r.xx]) for r in xx.collect()}
+    # partials of the tasks are summed element by element before anything is collected, in one pass over the rows
+    flat = sums.select("k", F.size("s").alias("d"), F.posexplode(F.concat(F.array("n"), "s", "xx")).alias("p", "v"))
+    flat = flat.groupBy("k", "p").agg(F.sum("v").alias("v"), F.max("d").alias("d")).groupBy("k").agg(F.max("d").alias("d"), F.array_sort(F.collect_list(F.struct("p", "v"))).alias("all"))
+    got, sv, xv = {}, {}, {}
+    for r in flat.collect():
+        v = np.array([e.v for e in r["all"]])
+        got[r.k], sv[r.k], xv[r.k] = float(v[0]), v[1 : 1 + r.d], v[1 + r.d :]
     kind = dict(df.dtypes).get(by) if by else None
     cast = int if kind in ("int", "bigint", "smallint") else (lambda v: v)
     return {(cast(k) if k is not None else None): Moments(n, sv[k], xv[k].reshape(len(sv[k]), -1)) for k, n in got.items()}

@@ -194,12 +194,16 @@ def drift_benchmark(spark: SparkSession, sf_dir: str, criterion: str = "ks_2samp
     return metrics.ood_results(rows[0].unionByName(rows[1]), ["ws"])
 
 
-@query("pipe_drift_benchmark", f"WITH {WIN_SQL}, {q._MIX}, src AS (SELECT ws, -round(ks, 9) AS score, 1 AS label FROM {q._ks_sql('wi')} UNION ALL SELECT ws, -round(ks, 9), 0 FROM {q._ks_sql('mx')}), {metrics.ood_results_sql('src', 'ws')} SELECT ws, {_SHOW} FROM res")
+@query("pipe_drift_benchmark", f"WITH {WIN_SQL}, {q._MIX}, src AS (SELECT ws, -round(ks, 9) AS score, 1 AS label FROM {q._ks_sql('wv')} UNION ALL SELECT ws, -round(ks, 9), 0 FROM {q._ks_sql('mx')}), {metrics.ood_results_sql('src', 'ws')} SELECT ws, {_SHOW} FROM res")
 def _pipe_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(drift_benchmark(spark, sf_dir), ["ws"])
 
 
-@query("pipe_drift_benchmark_mmd")
+def _mmd_sql(source: str) -> str:
+    return f"(SELECT yy.ws, yy.w, xx.v + yy.v - 2 * xy.v AS mmd FROM (SELECT a.ws, a.w, avg(exp(-pow(a.score - b.score, 2))) AS v FROM {source} a JOIN {source} b ON a.ws = b.ws AND a.w = b.w GROUP BY ALL) yy JOIN (SELECT ws, w, avg(exp(-pow(m.score - rf.score, 2))) AS v FROM {source} m, rf GROUP BY ws, w) xy USING (ws, w), (SELECT avg(exp(-pow(a.score - b.score, 2))) AS v FROM rf a, rf b) xx)"
+
+
+@query("pipe_drift_benchmark_mmd", f"WITH {WIN_SQL}, {q._MIX}, src AS (SELECT CAST(ws AS INTEGER) AS ws, -round(mmd, 9) AS score, 1 AS label FROM {_mmd_sql('wv')} UNION ALL SELECT CAST(ws AS INTEGER), -round(mmd, 9), 0 FROM {_mmd_sql('mx')}), {metrics.ood_results_sql('src', 'ws')} SELECT ws, {_SHOW} FROM res")
 def _pipe_drift_mmd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(drift_benchmark(spark, sf_dir, "mmd_rbf"), ["ws"])
 

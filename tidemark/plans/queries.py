@@ -241,12 +241,12 @@ for _method in ("EmpiricalCovariance", "ShrunkCovariance", "OAS", "LedoitWolf",
     _matrix_query(f"score_mahalanobis_{_method.lower()}", lambda df, fit, spark, sf, m=_method: features.mahalanobis(df, fit, m))
 _matrix_query("score_mahalanobis", lambda df, fit, spark, sf: features.mahalanobis(df, fit))
 _matrix_query("score_mahalanobis_paper", lambda df, fit, spark, sf: features.mahalanobis(df, fit, semantics="paper"))
-_matrix_query("score_mahalanobis_graphicallasso", lambda df, fit, spark, sf: features.mahalanobis(df.withColumn("x", F.slice("x", 1, 12)), fit.withColumn("x", F.slice("x", 1, 12)), "GraphicalLasso"))
+_matrix_query("score_mahalanobis_graphicallasso", lambda df, fit, spark, sf: features.mahalanobis(df, fit, "GraphicalLasso"))
 _matrix_query("score_relative_mahalanobis", lambda df, fit, spark, sf: features.relative_mahalanobis(df, fit))
 _matrix_query("score_vim", lambda df, fit, spark, sf: features.vim(df, fit, *_head_arrays(spark, sf), top_k=32))
-_matrix_query("score_ssd", lambda df, fit, spark, sf: features.ssd(df, fit, 2, 10))
+_matrix_query("score_ssd", lambda df, fit, spark, sf: features.ssd(df, fit, 2))
 _matrix_query("score_gmm", lambda df, fit, spark, sf: gmm.gmm(df, fit, 3))
-_matrix_query("score_gmm_diag_paper", lambda df, fit, spark, sf: gmm.gmm(df, fit, 3, "diag", semantics="paper", max_iter=10))
+_matrix_query("score_gmm_diag_paper", lambda df, fit, spark, sf: gmm.gmm(df, fit, 3, "diag", semantics="paper"))
 
 
 # ---------------------------------------------------------------- layers: stacks, aggregations, p-values
@@ -481,19 +481,11 @@ def _moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift_rows(spark, sf_dir).select("seq", F.round("ma", 9).alias("ma"), r6(F.col("moving_accuracy"), "moving_accuracy"), "drift")
 
 
-@query("drift_ema", f"WITH RECURSIVE {SEQ_SQL}, em AS (SELECT CAST(0 AS BIGINT) AS seq, warm AS e FROM wm UNION ALL SELECT s.seq, 0.99 * em.e + (1 - 0.99) * s.score FROM em JOIN sq s ON s.seq = em.seq + 1) SELECT seq, {q6('e', 'ema')} FROM em WHERE seq < 500")
+@query("drift_ema", f"WITH RECURSIVE {SEQ_SQL}, bl AS (SELECT seq, seq // 10000 AS b, seq % 10000 AS i, CASE WHEN seq = 0 THEN warm ELSE 0.01 * score END AS v FROM sq, wm), ps AS (SELECT *, sum(v * pow(0.99, -i)) OVER (PARTITION BY b ORDER BY i) AS p FROM bl), en AS (SELECT b, pow(0.99, max(i)) * max_by(p, i) AS e, max(i) + 1 AS n FROM ps GROUP BY b), cr AS (SELECT 0 AS b, CAST(0 AS DOUBLE) AS c UNION ALL SELECT en.b + 1, e + c * pow(0.99, n) FROM cr JOIN en ON en.b = cr.b) SELECT seq, {q6('pow(0.99, i) * p + c * pow(0.99, i + 1)', 'ema')} FROM ps JOIN cr USING (b)")
 def _ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The head of the sequence is reported: the recursive check is quadratic; the whole series is computed."""
     rows = sequence(spark, sf_dir)
     n = rows.count()
     warm = rows.where(F.col("seq") < int(n * 0.2)).agg(F.avg("score")).first()[0]
-    return drift.ema(rows, warm).where("seq < 500").select("seq", r6(F.col("ema"), "ema"))
-
-
-@query("drift_ema_full")
-def _ema_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sequence(spark, sf_dir)
-    warm = rows.where(F.col("seq") < int(rows.count() * 0.2)).agg(F.avg("score")).first()[0]
     return drift.ema(rows, warm).select("seq", r6(F.col("ema"), "ema"))
 
 
@@ -522,21 +514,18 @@ def drift_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return li.where(F.col("at") < mid).select("id", "score"), li.where(F.col("at") >= mid).select("id", "score")
 
 
-def _ref_of(inside: DataFrame, n: int) -> DataFrame:
-    return inside.orderBy(drift.draw_key("ref", "id"), "id", "score").limit(n)
-
-
 _PLAN = " UNION ALL ".join(f"SELECT {ws} AS ws, w FROM range({SAMPLES // ws}) t(w)" for ws in SIZES)
-WIN_SQL = f"""{_LI}, ins AS MATERIALIZED (SELECT id, score FROM li WHERE early), ous AS MATERIALIZED (SELECT id, score FROM li WHERE NOT early),
-rf AS MATERIALIZED (SELECT id, score FROM ins ORDER BY md5('ref:' || id), id, score LIMIT 200), pl AS ({_PLAN}),
+WIN_SQL = f"""{_LI}, rk AS MATERIALIZED (SELECT id, score, row_number() OVER (ORDER BY md5('ref:' || id), id, score) AS r FROM li WHERE early), vl AS MATERIALIZED (SELECT id, score FROM rk WHERE r > 200 AND r <= 400), ins AS MATERIALIZED (SELECT id, score FROM rk WHERE r > 400), ous AS MATERIALIZED (SELECT id, score FROM li WHERE NOT early),
+rf AS MATERIALIZED (SELECT id, score FROM rk WHERE r <= 200), pl AS ({_PLAN}),
 wi AS MATERIALIZED (SELECT ws, w, id, score FROM ins, pl QUALIFY row_number() OVER (PARTITION BY ws, w ORDER BY md5('in:' || ws || ':' || w || ':' || id), id, score) <= ws),
+wv AS MATERIALIZED (SELECT ws, w, id, score FROM vl, pl QUALIFY row_number() OVER (PARTITION BY ws, w ORDER BY md5('val:' || ws || ':' || w || ':' || id), id, score) <= ws),
 wo AS MATERIALIZED (SELECT ws, w, id, score FROM ous, pl QUALIFY row_number() OVER (PARTITION BY ws, w ORDER BY md5('out:' || ws || ':' || w || ':' || id), id, score) <= ws)"""
 
 
 @query("drift_partition_scores", f"WITH {WIN_SQL} SELECT CAST(ws AS INTEGER) AS ws, CAST(w AS INTEGER) AS w, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM wi GROUP BY ws, w")
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside, _ = drift_sides(spark, sf_dir)
-    return drift.partition_scores(inside, SIZES, SAMPLES, "in").groupBy("ws", "w").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return drift.partition_scores(drift.split_reference(inside, 2 * max(SIZES))[2], SIZES, SAMPLES, "in").groupBy("ws", "w").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 _MIX = """ma_ AS (SELECT ws, w, id, score, 0 AS side FROM wi QUALIFY row_number() OVER (PARTITION BY ws, w ORDER BY md5('mix:0:' || ws || ':' || w || ':' || id), id, score) <= ceil(0.5 * ws)
@@ -545,10 +534,11 @@ mx AS MATERIALIZED (SELECT ws, w, id, score FROM ma_ QUALIFY row_number() OVER (
 
 
 def drift_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(windows in distribution, mixed windows, reference)."""
+    """(validation windows, mixed windows, reference): reference, validation rows and what windows are mixed of are disjoint."""
     inside, outside = drift_sides(spark, sf_dir)
-    a, b = drift.partition_scores(inside, SIZES, SAMPLES, "in"), drift.partition_scores(outside, SIZES, SAMPLES, "out")
-    return a, drift.mixture(a, b, 0.5), _ref_of(inside, 2 * max(SIZES))
+    reference, validation, rest = drift.split_reference(inside, 2 * max(SIZES))
+    a, b = drift.partition_scores(rest, SIZES, SAMPLES, "in"), drift.partition_scores(outside, SIZES, SAMPLES, "out")
+    return drift.partition_scores(validation, SIZES, SAMPLES, "val"), drift.mixture(a, b, 0.5), reference
 
 
 @query("drift_mixture", f"WITH {WIN_SQL}, {_MIX} SELECT CAST(ws AS INTEGER) AS ws, CAST(w AS INTEGER) AS w, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM mx GROUP BY ws, w")
