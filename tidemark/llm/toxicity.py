@@ -43,7 +43,7 @@ ORDINARY_SIZE, TOXIC_SIZE, TRAINER_WINDOWS = 2048, 2048, 40_000
 #: A gram leans to toxic text when its log odds exceed ODDS by DEVIATIONS standard errors, in LEAST contexts or more.
 GRAM, ODDS, DEVIATIONS, LEAST, FOLDS = 6, 1.5, 2.0, 4, 3
 THRESHOLD = 0.3
-_GRAM_BITS, _SEEN_BITS = 22, 28
+_GRAM_BITS, _SEEN_BITS = 22, 27
 _TOP = 16
 _PRIMER = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)
 _PAD = b"\n" * 16
@@ -139,7 +139,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin / len(self.weights), -35, 35)))
 
 
-def joined(texts: list[np.ndarray], limit: int = 1 << 20) -> Iterator[np.ndarray]:
+def joined(texts: list[np.ndarray], limit: int = 1 << 18) -> Iterator[np.ndarray]:
     """The texts in blocks of about `limit` bytes, a zero byte after each."""
     held, size = [], 0
     for t in texts:
@@ -165,8 +165,8 @@ def gram_buckets(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_contexts(texts: list[np.ndarray]) -> np.ndarray:
-    """Per hash bucket the number of distinct contexts (the next six bytes) of its grams, by a bitmap of fixed size."""
-    counts = np.zeros(1 << _GRAM_BITS, np.uint32)
+    """Per hash bucket the number of distinct contexts (the next six bytes) of its grams, by a bitmap of fixed size; 65,535 stands for all above."""
+    counts = np.zeros(1 << _GRAM_BITS, np.uint16)
     seen = np.zeros(1 << (_SEEN_BITS - 3), np.uint8)
     for block in joined(texts):
         h, inside = gram_buckets(block)
@@ -181,15 +181,20 @@ def gram_contexts(texts: list[np.ndarray]) -> np.ndarray:
         at, bit = at[new], bit[new]
         start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         seen[at[start]] |= np.bitwise_or.reduceat(bit, start)
-        counts += np.bincount((h[first[new]] >> np.uint64(64 - _GRAM_BITS)).astype(np.int64), minlength=1 << _GRAM_BITS).astype(np.uint32)
+        bucket, n = np.unique((h[first[new]] >> np.uint64(64 - _GRAM_BITS)).astype(np.int64), return_counts=True)
+        counts[bucket] = np.minimum(counts[bucket] + n, 65535).astype(np.uint16)
     return counts
 
 
-def leaning(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """Which buckets surely are more frequent in toxic text."""
-    a, b = toxic.astype(np.float32) + np.float32(0.5), ordinary.astype(np.float32) + np.float32(0.5)
-    odds = np.log(a / (toxic.sum() + 1.0)) - np.log(b / (ordinary.sum() + 1.0))
-    return (toxic >= LEAST) & (odds - DEVIATIONS * np.sqrt(1 / a + 1 / b) > ODDS)
+def leaning(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> np.ndarray:
+    """Which buckets surely are more frequent in toxic text. Both sides are lists of counts to be summed."""
+    totals = [1.0 + sum(int(c.sum(dtype=np.int64)) for c in side) for side in (toxic, ordinary)]
+    out = np.zeros(len(toxic[0]), bool)
+    for at in range(0, len(out), 1 << 18):
+        a, b = (sum(c[at : at + (1 << 18)].astype(np.float32) for c in side) + np.float32(0.5) for side in (toxic, ordinary))
+        odds = np.log(a / totals[0]) - np.log(b / totals[1])
+        out[at : at + (1 << 18)] = (a > LEAST) & (odds - DEVIATIONS * np.sqrt(1 / a + 1 / b) > ODDS)
+    return out
 
 
 def leaning_stretches(texts: list[np.ndarray], lean: np.ndarray) -> list[bytes]:
@@ -220,12 +225,14 @@ def trained(samples: list[bytes], size: int, segment: int) -> bytes:
 
 def ordinary_windows(texts: list[np.ndarray]) -> list[bytes]:
     """Windows of the texts, at most TRAINER_WINDOWS, evenly spaced."""
-    out = []
+    found = sum(len(windows(block, np.array([0, len(block)]))[0]) for block in joined(texts))
+    step, skip, out = max(1, -(-found // TRAINER_WINDOWS)), 0, []
     for block in joined(texts):
         starts, ends, _ = windows(block, np.array([0, len(block)]))
         raw = block.tobytes()
-        out += [raw[a:b] for a, b in zip(starts, ends)]
-    return out[:: max(1, -(-len(out) // TRAINER_WINDOWS))]
+        out += [raw[a:b] for a, b in zip(starts[skip::step], ends[skip::step])]
+        skip = (skip - len(starts)) % step
+    return out
 
 
 def calibrated(hist: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -247,10 +254,9 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int]) -> Model:
     if min(len(t) for t in texts.values()) < FOLDS:
         return model
     grams = {(y, f): gram_contexts(texts[y][f::FOLDS]) for y in (0, 1) for f in range(FOLDS)}
-    whole = {y: sum(grams[y, f] for f in range(FOLDS)) for y in (0, 1)}
     for f in range(FOLDS - 1):
         ordinary, toxic = ([t for i, t in enumerate(texts[y]) if i % FOLDS != f] for y in (0, 1))
-        lean = leaning(whole[1] - grams[1, f], whole[0] - grams[0, f])
+        lean = leaning(*([grams[y, g] for g in range(FOLDS) if g != f] for y in (1, 0)))
         pair = trained(ordinary_windows(ordinary), ORDINARY_SIZE, 32), trained(leaning_stretches(toxic, lean), TOXIC_SIZE, 16)
         compressors = Model([pair], [], [], prior).compressors()
         rest = [(t, y) for y in (0, 1) for t in texts[y][f::FOLDS]]
