@@ -9,7 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard_join, line_dedup, mixing, quality, registry, sharding, token_counts, topk_search, toxicity, url_filter
+from tidemark.llm import common, decontamination, jaccard_join, line_dedup, mixing, quality, registry, sharding, token_counts, topk_search, toxicity, url_filter
 from tidemark.llm.common import row_shingles, table
 from tidemark.llm.components import components
 
@@ -105,12 +105,22 @@ def test_classifier_edge_rows(spark, module, fit):
 def test_training_rows_are_whole(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     whole = {r.text for r in docs.select("text").collect()}
-    got, counts = toxicity.training_rows(docs, labels, "toxic", 20, 1 << 30)
+    got, counts = common.training_rows(docs, labels, "toxic", 20, 1 << 30)
     assert all(t in whole for t, _ in got) and [sum(y == k for _, y in got) for k in (0, 1)] == [20, 20] and counts[0] > 200
-    few, _ = toxicity.training_rows(docs, labels, "toxic", 20, 9000)
+    few, _ = common.training_rows(docs, labels, "toxic", 20, 9000)
     assert all(t in whole for t, _ in few) and all(sum(len(t.encode()) for t, y in few if y == k) <= 9000 for k in (0, 1)) and 0 < len(few) < 40
 
 
+def test_toxicity_fit_in_a_task(spark):
+    """The task's model is that of the same rows fitted here; without labels of both classes there is none."""
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    a = toxicity.fit_toxicity(docs, labels)
+    b = toxicity.fit(*common.training_rows(docs, labels, "toxic", toxicity.ROWS_PER_CLASS, toxicity.BYTES_PER_CLASS))
+    assert a.pairs == b.pairs and len(a.pairs) == 2 and a.prior == b.prior
+    assert all((x == y).all() for x, y in zip(a.evidence + a.weights, b.evidence + b.weights))
+    assert toxicity.fit_toxicity(docs, labels.where("toxic = 0")).pairs == [] == toxicity.fit_toxicity(docs.limit(0), labels).pairs
+
+
 def test_compression_distance_brute_force(spark):
     """Windows found and compressed one by one, and evidence summed in plain Python, against the blocks of a batch."""
     docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +41,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, bytes_per_class: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """A bounded sample of labelled rows for a fit on the driver, and the number of learnable labels of each class.
+def training_frame(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, bytes_per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of a bounded sample of labelled rows, and the number of learnable labels of each class.
 
     At most rows_per_class ids of each class, the first by a hash of the id, never of the held-out fold; repeated labels
-    of an id count as their maximum, null and other labels not at all. Texts are whole: in the order of the hash a row is
-    taken if what was taken of its class stays within bytes_per_class with it. Both bounds are documented parameters of
-    the fit. Scoring, and everything else, takes all rows and whole texts.
+    of an id count as their maximum, null and other labels not at all. Texts are whole; one above bytes_per_class is left out.
     """
     ys = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     ys = ys.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -55,13 +53,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows_per_class
     picked = [ys.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * rows_per_class rows
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    room, out = {0: bytes_per_class, 1: bytes_per_class}, []
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toLocalIterator():
-        size = len(r.text.encode())
-        if size <= room[r.y]:
-            room[r.y] -= size
-            out.append((r.text, r.y))
-    return out, counts
+    return rows.where(F.octet_length("text") <= bytes_per_class), counts
+
+
+def within(rows: Iterable[tuple[str, int]], bytes_per_class: int) -> Iterator[tuple[str, int]]:
+    """The (text, class) rows, in their order, that keep what was taken of their class within bytes_per_class."""
+    room = {0: bytes_per_class, 1: bytes_per_class}
+    for text, y in rows:
+        size = len(text.encode())
+        if size <= room[y]:
+            room[y] -= size
+            yield text, y
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, bytes_per_class: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """The rows of training_frame in the order of the hash, on the driver, as far as they stay within bytes_per_class, and the counts.
+
+    Both bounds are documented parameters of the fit. Scoring, and everything else, takes all rows and whole texts.
+    """
+    rows, counts = training_frame(docs, labels, label, rows_per_class, bytes_per_class)
+    found = ((r.text, r.y) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toLocalIterator())
+    return list(within(found, bytes_per_class)), counts
 
 
 def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _LOWER, _SPACE, held_out, mix64, platt, table, text_blocks, training_rows
+from tidemark.llm.common import _LOWER, _SPACE, held_out, mix64, platt, table, text_blocks, training_frame, within
 
 #: The fit's bounds: labelled rows of each class, and bytes of their whole texts.
 ROWS_PER_CLASS, BYTES_PER_CLASS = 2500, 16 << 20
@@ -45,6 +45,8 @@ GRAM, ODDS, DEVIATIONS, LEAST, FOLDS = 6, 1.5, 2.0, 4, 3
 THRESHOLD = 0.3
 _GRAM_BITS, _SEEN_BITS = 22, 27
 _TOP = 16
+#: Windows that are laid out and compressed at once.
+_BLOCK = 1 << 12
 _PRIMER = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)
 _PAD = b"\n" * 16
 
@@ -88,9 +90,9 @@ def differences(pairs: list[tuple], data: np.ndarray, starts: np.ndarray, ends:
     tail = 12  # spaces after the window, for the same reason as the overlap
     size = ends - starts + p + tail
     at = np.append(0, np.cumsum(size))
-    place = np.arange(at[-1]) - np.repeat(at[:-1], size)
-    source = np.repeat(starts - p, size) + place
-    last = np.repeat(ends, size)
+    place = np.arange(at[-1], dtype=np.int32) - np.repeat(at[:-1].astype(np.int32), size)
+    source = np.repeat((starts - p).astype(np.int32), size) + place
+    last = np.repeat(ends.astype(np.int32), size)
     buffer = np.where(place < p, _PRIMER[np.minimum(place, p - 1)], np.where(source < last, data[np.clip(source, 0, len(data) - 1)], 32)).astype(np.uint8).tobytes()
     segments = np.column_stack([at[:-1], size]).astype(np.uint64).tobytes()
     return [lengths(ordinary, buffer, segments) - lengths(toxic, buffer, segments) for ordinary, toxic in pairs]
@@ -100,8 +102,8 @@ def histograms(data: np.ndarray, offsets: np.ndarray, pairs: list[tuple]) -> np.
     """(pair, row, difference): the number of a row's windows by difference, -_TOP to _TOP (beyond them counts as the last). data: lower-cased bytes."""
     starts, ends, row = windows(data, offsets)
     out = np.zeros((len(pairs), len(offsets) - 1, 2 * _TOP + 1))
-    for a in range(0, len(starts), 1 << 14):
-        cut = slice(a, a + (1 << 14))
+    for a in range(0, len(starts), _BLOCK):
+        cut = slice(a, a + _BLOCK)
         low, high = starts[cut].min(), ends[cut].max()
         for k, d in enumerate(differences(pairs, data[low:high], starts[cut] - low, ends[cut] - low)):
             np.add.at(out[k], (row[cut], np.clip(d, -_TOP, _TOP) + _TOP), 1)
@@ -284,7 +286,20 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*training_rows(docs, labels, "toxic", ROWS_PER_CLASS, BYTES_PER_CLASS))
+    """Fits in one task, on the bounded sample; what comes to the driver is the model."""
+    rows, counts = training_frame(docs, labels, "toxic", ROWS_PER_CLASS, BYTES_PER_CLASS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((text.as_py(), y.as_py()) for batch in batches for text, y in zip(batch.column("text"), batch.column("y")))
+        model = fit(list(within(found, BYTES_PER_CLASS)), counts)
+        sides = [[pair[side] for pair in model.pairs] for side in (0, 1)]
+        columns = [pa.array(x, pa.binary()) for x in sides] + [pa.array([list(v) for v in x], pa.list_(pa.float64())) for x in (model.evidence, model.weights)]
+        yield pa.RecordBatch.from_arrays(columns, ["ordinary", "toxic", "evidence", "weights"])
+
+    ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")  # at most 2 * ROWS_PER_CLASS rows
+    parts = ordered.select("text", "y").mapInArrow(run, "ordinary binary, toxic binary, evidence array<double>, weights array<double>").collect()
+    total = sum(counts.values())
+    return Model([(bytes(r.ordinary), bytes(r.toxic)) for r in parts], [np.array(r.evidence) for r in parts], [np.array(r.weights) for r in parts], counts.get(1, 0) / total if total else 0.0)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
