@@ -70,14 +70,17 @@ def frequency_levels(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.nd
     """Per hash bucket the level of its shingles' frequency over all texts: 0 is rare, above it the binary logarithm.
 
     Each task counts into one array of fixed size; arrays are summed by chunk, as a stream. A bucket is rare if its
-    count is what the bulk of single shingles explains: mean + 6 deviations + 4.
+    count is what the bulk of single shingles explains: mean + 6 deviations + 4. A task's counts stop at 65,535, and the sums
+    at 2**32 - 1: far beyond what is rare, so a hot shingle never looks rare.
     """
+    most = np.iinfo(np.uint16).max
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             for s in row_shingles(batch, n):
-                counts[(s >> np.uint64(64 - bits)).astype(np.int64)] += 1  # a set's shingles rarely share a bucket
+                at = (s >> np.uint64(64 - bits)).astype(np.int64)  # a set's shingles rarely share a bucket
+                counts[at] += counts[at] < most
         counts = counts.reshape(-1, 1 << min(bits, CHUNK_BITS))
         for k in np.flatnonzero(counts.any(1)):
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counts": [zlib.compress(counts[k].tobytes(), 1)]})
@@ -87,9 +90,9 @@ def frequency_levels(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.nd
         for batch in batches:
             for k, c in zip(batch["chunk"].to_pylist(), batch["counts"]):
                 c = np.frombuffer(zlib.decompress(c.as_py()), np.uint16)
-                sums[k] = sums.get(k, np.zeros(len(c), np.uint32)) + c
+                sums[k] = sums.get(k, np.zeros(len(c), np.uint64)) + c
         for k, c in sums.items():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counts": [zlib.compress(c.tobytes(), 1)], "total": pa.array([int(c.sum())], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counts": [zlib.compress(np.minimum(c, np.iinfo(np.uint32).max).astype(np.uint32).tobytes(), 1)], "total": pa.array([int(c.sum())], pa.int64())})
 
     summed = texts.select("text").mapInArrow(count, "chunk int, counts binary").repartition(max(1, 1 << max(0, bits - CHUNK_BITS)), "chunk").mapInArrow(add, "chunk int, counts binary, total long")
     rows = summed.collect()  # one array of 2**bits counts, whatever the number of texts
