@@ -9,7 +9,8 @@ possible members are below the query's k-th best score; possible members are res
 Defined results: vectors that are null, or hold null or non-finite components, take no part. Shorter vectors are padded
 with zeros; an empty vector scores 0 with every other. Rows with a null id take no part. Candidates of a query are all
 rows whose id isn't its own; rows that repeat both id and vector count once, as one row. Ties go to the smaller id.
-Other columns are ignored, whatever their names. Empty tables give empty results.
+Other columns are ignored, whatever their names. Empty tables give empty results. Where products may exceed 64 bits, scores are
+taken in unbounded integers; a score among the best that fits no long raises an error instead of wrapping.
 Every row is indexed, so recall is 1 by construction.
 """
 
@@ -123,6 +124,8 @@ def block_search(q_ids: np.ndarray, q: np.ndarray, block: dict, k: int, floor: d
     own = q_ids[:, None] == ids[None, :] if len(np.intersect1d(q_ids, ids)) else None
     acc = np.zeros((len(q), len(ids)))
     best = np.array([floor.get(int(i), -(1 << 62)) for i in q_ids], np.float64) if floor is not None else np.full(len(q), -float(1 << 62))
+    # what rounding in the accumulators can amount to, also where large products cancel
+    rounding = (dim + 16) * np.finfo(np.float64).eps * norms[:, None] * np.sqrt((exact.astype(np.float64) ** 2).sum(1))[None, :]
     at, possible = 0, None
     for level, end in enumerate(levels):
         segment = np.zeros((len(ids), dim))
@@ -130,7 +133,7 @@ def block_search(q_ids: np.ndarray, q: np.ndarray, block: dict, k: int, floor: d
         acc += qf @ segment.T
         at = end
         left = norms[:, None] * rest[level][None, :]
-        left += 1e-9 * (1 + left + np.abs(acc))  # rounding
+        left += 1e-9 * (1 + left + np.abs(acc)) + rounding
         if level < len(levels) - 1 and left.max() > 0.2 * norms.max() * (rest[0].max() + 1):
             continue
         lower, upper = acc - left, acc + left
@@ -149,12 +152,21 @@ def block_search(q_ids: np.ndarray, q: np.ndarray, block: dict, k: int, floor: d
     wide = np.zeros((len(ids), dim), np.int64)
     wide[:, : exact.shape[1]] = exact
     scores = np.empty(len(row), np.int64)
-    for a in range(0, len(row), 1 << 16):
+    # by the Cauchy-Schwarz inequality no sum, nor part of one, leaves 64 bits
+    narrow = norms.max(initial=0) * np.sqrt((wide.astype(np.float64) ** 2).sum(1).max(initial=0)) < 2.0**62
+    if not narrow:
+        scores = np.array([sum(x * y for x, y in zip(q[r].tolist(), wide[c].tolist())) for r, c in zip(row, col)], object)
+    for a in range(0, len(row) if narrow else 0, 1 << 16):
         scores[a : a + (1 << 16)] = np.einsum("ij,ij->i", q[row[a : a + (1 << 16)]], wide[col[a : a + (1 << 16)]])
     order = np.lexsort((ids[col], -scores, row))
     row, col, scores = row[order], col[order], scores[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
     keep = place < k
+    if not narrow:
+        if any(abs(x) >> 63 for x in scores[keep]):
+            raise OverflowError("a score does not fit a long: scale the vectors down")
+        keep_scores = scores[keep].astype(np.int64)
+        return row[keep], ids[col[keep]], keep_scores
     if floor is not None:
         for r, s in zip(row[place == k - 1], scores[place == k - 1]):
             floor[int(q_ids[r])] = max(int(s), floor.get(int(q_ids[r]), -(1 << 62)))
