@@ -4,7 +4,8 @@ Rules: the longest rule whose host is the URL's host or one of its parent domain
 with, wins. All other URLs are judged by trees on the URL alone: length, depth, digit ratio, entropy, parameter counts,
 hyphens and labels of the host, and statistics of its suffixes: how many of all pages have the suffix, and which share
 of the labelled ones is blocked. Suffix counts cover all rows and are summed in a table of fixed size by hash, so
-neither a hot host nor the number of hosts matters.
+neither a hot host nor the number of hosts matters. While the trees are fitted, a URL's block rates come from the labels of the
+other folds (by a hash of the URL), never from its own label.
 
 Labels: (url, block) pairs; by default URLs whose host holds a term of a short fixed list are blocked, and those that a
 rule allows, with a share of the rest, are presumed clean. The fit takes a bounded sample, by a hash of the URL.
@@ -33,7 +34,7 @@ RULES = (("net/", "net", "/", "block"), ("example.net/en/", "example.net", "/en/
 TERMS = ("adult", "ads", "bets", "casino", "cheap", "pills", "spam")
 #: The fit's bound: labelled URLs of each kind.
 ROWS_PER_CLASS = 5000
-BUCKETS = 4096
+BUCKETS, FOLDS = 4096, 5
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "parameter_length", "hyphens", "labels", "longest_label", "vowel_ratio", "tls", "suffix1_log_pages", "suffix1_block_rate", "suffix2_log_pages", "suffix2_block_rate")
 
 
@@ -54,21 +55,31 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return rule, verdict
 
 
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
 def suffix(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
 def suffix_table(pages: DataFrame, labelled: DataFrame) -> np.ndarray:
-    """[2, BUCKETS, 2]: for one and two labels, by hash bucket, all pages and the smoothed block rate of labelled ones."""
-    out = np.zeros((2, BUCKETS, 2))
+    """[FOLDS + 1, 2, BUCKETS, 2]: for one and two labels, by hash bucket, all pages and the smoothed block rate of labelled URLs.
+
+    The entry of a fold has the rates of the other folds' labels, the last one those of all.
+    """
+    out = np.zeros((FOLDS + 1, 2, BUCKETS, 2))
     bucket = lambda k: F.pmod(F.crc32(suffix(F.col("host"), k)), F.lit(BUCKETS)).cast("int").alias("bucket")
-    overall = labelled.agg(F.avg("block")).first()[0] or 0.0
     for i in (0, 1):
-        out[i, :, 1] = overall
         for r in pages.groupBy(bucket(i + 1)).count().collect():  # at most BUCKETS rows
-            out[i, r.bucket, 0] = np.log1p(r["count"])
-        for r in labelled.groupBy(bucket(i + 1)).agg(F.sum("block").alias("b"), F.count("*").alias("n")).collect():
-            out[i, r.bucket, 1] = (r.b + 4 * overall) / (r.n + 4)
+            out[:, i, r.bucket, 0] = np.log1p(r["count"])
+        sums = np.zeros((FOLDS, BUCKETS, 2))
+        for r in labelled.groupBy(fold(F.col("url")).alias("fold"), bucket(i + 1)).agg(F.sum("block").alias("b"), F.count("*").alias("n")).collect():  # at most FOLDS * BUCKETS
+            sums[r.fold, r.bucket] = r.b, r.n
+        used = np.concatenate([sums.sum(0) - sums, sums.sum(0, keepdims=True)])
+        whole = used.sum(1)
+        overall = np.divide(whole[:, 0], whole[:, 1], out=np.zeros(FOLDS + 1), where=whole[:, 1] > 0)[:, None]
+        out[:, i, :, 1] = (used[..., 0] + 4 * overall) / (used[..., 1] + 4)
     return out
 
 
@@ -159,12 +170,16 @@ def default_labels(pages: DataFrame) -> DataFrame:
 
 def fit(pages: DataFrame, labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> tuple[np.ndarray, Trees | None]:
     suffixes = suffix_table(pages, labelled)
-    parts = [labelled.where(F.col("block") == k).select("url", "host", "path", "block").distinct().orderBy(F.xxhash64("url"), "url").limit(rows_per_class) for k in (0, 1)]
+    parts = [labelled.where(F.col("block") == k).select("url", "host", "path", "block", fold(F.col("url")).alias("fold")).distinct().orderBy(F.xxhash64("url"), "url").limit(rows_per_class) for k in (0, 1)]
     rows = [r for p in parts for r in p.collect()]
     y = np.array([r.block for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
-        return suffixes, None
-    return suffixes, boost(features([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], suffixes), y)
+        return suffixes[FOLDS], None
+    x = np.zeros((len(rows), len(FEATURES)))
+    for f in range(FOLDS):
+        at = [i for i, r in enumerate(rows) if r.fold == f]
+        x[at] = features([rows[i].url for i in at], [rows[i].host for i in at], [rows[i].path for i in at], suffixes[f])
+    return suffixes[FOLDS], boost(x, y)
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, labelled: DataFrame | None = None) -> DataFrame:
