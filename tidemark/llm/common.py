@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one only where it is unset and all runs in one process."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tidemark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
