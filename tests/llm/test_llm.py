@@ -1,10 +1,12 @@
 """The training-data operators against brute force, SQL, held-out labels, and tables of edge rows."""
 
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -69,6 +71,21 @@ def test_topk_edge_rows(spark):
     assert topk_search.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_topk_of_huge_products(spark):
+    rng = np.random.default_rng(4)
+    v = [[2e7] * 8]
+    for x in rng.normal(size=(60, 7)):
+        v.append([*(2e7 * x).tolist(), -float((2e7 * x).sum()) + float(rng.integers(-50, 50))])  # products beyond 64 bits that cancel
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    q = [[math.floor(256 * x) for x in r] for r in v]
+    score = lambda i, j: sum(x * y for x, y in zip(q[i], q[j]))
+    got = sorted(tuple(r) for r in topk_search.top_k(df, F.col("vec_id") == 0).collect())
+    order = sorted(range(1, 61), key=lambda j: (-score(0, j), j))[:5]
+    assert max(abs(score(0, j)) for j in order) < 2**63 and got == [(0, r + 1, j, score(0, j)) for r, j in enumerate(order)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk_search.top_k(spark.createDataFrame([(0, [1e8] * 64), (1, [1e8] * 64)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 # ---------------------------------------------------------------- 2, 6
 
 
@@ -216,6 +233,24 @@ def test_url_trees(spark):
     assert (got[spam].verdict == "block").mean() > 0.95 and (got[~spam].verdict == "allow").mean() > 0.95
 
 
+def test_suffix_rates_of_a_fold_leave_its_labels_out(spark):
+    hosts = [f"h{i}.{t}" for i in range(40) for t in ("com", "co.uk", "net")]
+    data = [(i, f"http://{h}/{i}", h, "/", i % 3 % 2) for i, h in enumerate(hosts)]
+    df = spark.createDataFrame(data, "page_id long, url string, host string, path string, block int").withColumn("fold", url_filter.fold(F.col("url")))
+    table = url_filter.suffix_table(df, df)
+    rows = df.collect()
+    assert len({r.fold for r in rows}) == url_filter.FOLDS
+    for left in range(url_filter.FOLDS + 1):
+        used = [r for r in rows if r.fold != left]
+        overall = sum(r.block for r in used) / len(used)
+        for k in (1, 2):
+            names = {}
+            for r in used:
+                names.setdefault(zlib.crc32(".".join(r.host.split(".")[-k:]).encode()) % url_filter.BUCKETS, []).append(r.block)
+            for b, y in names.items():
+                assert abs(table[left, k - 1, b, 1] - (sum(y) + 4 * overall) / (len(y) + 4)) < 1e-12
+
+
 def test_boosting_fits_a_rule():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 4))
@@ -301,6 +336,31 @@ def test_shards(spark, n, target):
             assert r.size == 16 + len((t or "").encode()) and (np.isnan(r.text_crc32) if t is None else int(r.text_crc32) == zlib.crc32(t.encode()))
 
 
+def test_boundaries_do_not_depend_on_ranges(spark):
+    counts = spark.createDataFrame([(f"s{i * 7919 % 1000:04d}", 1 + i % 13) for i in range(500)] + [(None, 40)], "s string, count long")
+    whole = sharding.boundaries(counts, "s", 4)
+    values, below, first = sorted((r.s, r["count"]) for r in counts.where("s is not null").collect()), 40, {}
+    for v, n in values:  # nulls lie below all others
+        first.setdefault(max(1, below * 16 // (40 + sum(n for _, n in values))), v)
+        below += n
+    assert whole == [(v, b) for b, v in sorted(first.items())]
+    assert len(whole) > 10 and all(sharding.boundaries(counts, "s", 4, n) == whole for n in (1, 7, 499))
+    assert sharding.boundaries(counts.where("s is null"), "s", 4) == [] == sharding.boundaries(counts.limit(0), "s", 4)
+
+
+def test_shard_files_hold_whole_rows_and_prune(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("size", F.lit("clash")).withColumn("slot", F.lit(None).cast("string"))
+    ranges = sharding.write_shards(docs, str(tmp_path / "out"), 60).toPandas()
+    back = spark.read.parquet(str(tmp_path / "out")).select("row.*").toPandas().sort_values("doc_id", ignore_index=True)
+    assert back.equals(docs.toPandas().sort_values("doc_id", ignore_index=True)) and ranges.rows.sum() == len(back)
+    read = lambda r, c, v: r.rows[(r[f"least_{c}"] <= v) & (r[f"greatest_{c}"] >= v)].sum() / len(back)
+    for c in ("source", "lang"):
+        share = back[c].value_counts(normalize=True)
+        # files read for one value, against its share of the rows
+        assert sum(read(ranges, c, v) * w for v, w in share.items()) < 0.5 * (1 + (share**2).sum())
+        assert all(read(ranges, c, v) >= w - 1e-9 for v, w in share.items())
+
+
 def test_hilbert_is_a_walk():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     index = sharding.hilbert_index([g[:, i] for i in range(3)], 3)
@@ -432,6 +492,12 @@ def test_keep_first_with_repeated_ids(spark):
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted([(1, a), (2, texts[2]), (4, c * 3), (7, ""), (7, ""), (-1, a)])
 
 
+def test_a_hot_shingle_never_looks_rare(spark):
+    texts = spark.range(0, 65_537, 1, 1).select(F.lit("a b c d e").alias("text"))  # one more than 16 bits count
+    hot = next(iter(jaccard_join.row_shingles(pa.RecordBatch.from_pydict({"text": ["a b c d e"]}), 5)))
+    assert jaccard_join.frequency_levels(texts, 5, 16)[int(hot[0] >> np.uint64(48))] > 0
+
+
 def test_shingle_counts_match_words():
     import pyarrow as pa
 
