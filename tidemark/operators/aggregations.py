@@ -6,7 +6,6 @@ single pre-aggregated job computes.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import special, vec
+from tidemark.sources.folders import shared_folder
 
 # ---------------------------------------------------------------- stateless
 
@@ -206,7 +206,7 @@ def _cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder and read again: what is joined by value must not be computed twice."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

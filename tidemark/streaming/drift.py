@@ -1,12 +1,11 @@
 """Streaming twins of the drift operators: event-time windows with watermarks, and a keyed monitor with its own state.
 
 The monitor keeps, for each key, a ring of the last values, their sum, an exponential average and the warm-up mean; the
-state's size is the window's, however long the stream runs. Rows that the watermark has passed are dropped by Spark.
+state's size is the window's, however long the stream runs. Windows drop the rows that their watermark has passed; the monitor takes every row.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.sources.folders import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -98,8 +99,7 @@ def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
 def _checkpoint(spark: SparkSession, name: str) -> str:
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def parquet_sink(stream: DataFrame, path: str, checkpoint: str):
