@@ -71,6 +71,21 @@ def test_topk_edge_rows(spark):
     assert topk_search.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_topk_broadcasts_no_query_copies(spark):
+    rows = spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("embedding"))
+    got = topk_search.top_k(rows, F.col("vec_id") % 50 == 0)
+    assert len(got.collect()) == 20
+    plan = got._jdf.queryExecution().executedPlan().toString()  # as it ran
+    assert "CoGroups" in plan and "Broadcast" not in plan
+
+
+def test_topk_cells(spark):
+    v = np.random.default_rng(5).normal(size=(300, 6))
+    vectors = topk_search.quantised(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    one, many = (sorted(topk_search.search(topk_search.build_index(vectors, 40), topk_search.query_blocks(vectors, 30), 3, *n).collect()) for n in ((1, 1), (5, 3)))
+    assert one == many and len(one) == 900
+
+
 def test_topk_of_huge_products(spark):
     rng = np.random.default_rng(4)
     v = [[2e7] * 8]

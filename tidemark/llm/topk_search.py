@@ -27,7 +27,10 @@ from tidemark.llm.common import table
 
 #: Rows of a posting block and queries of a query block; both bound a task's memory, neither bounds the result.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
-_BLOCK = "ids binary, dim int, levels binary, slots binary, dims binary, impacts binary, rest binary, exact binary"
+#: Queries whose accumulators a task holds at once, and query blocks of a group.
+STEP_QUERIES, GROUP_BLOCKS = 256, 16
+_BYTES = ("ids", "levels", "slots", "dims", "impacts", "rest")
+_BLOCK = ", ".join(["dim int", *(f"{c} binary" for c in _BYTES)])
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: float = 256.0) -> DataFrame:
@@ -84,7 +87,7 @@ def segments(ids: np.ndarray, m: np.ndarray) -> dict:
     squares = m.astype(np.float64) ** 2
     rest = np.stack([np.sqrt(np.where(level < x, squares, 0).sum(1)) for x in present]) if len(present) else np.zeros((0, len(m)))
     bounds = np.array([(level >= x).sum() for x in present], np.int64)
-    return {"ids": ids.tobytes(), "dim": m.shape[1], "levels": bounds.tobytes(), "slots": slots.astype(np.int32).tobytes(), "dims": dims.astype(np.int32).tobytes(), "impacts": m[slots, dims].astype(np.int64).tobytes(), "rest": rest.tobytes(), "exact": m.tobytes()}
+    return {"ids": ids.tobytes(), "dim": m.shape[1], "levels": bounds.tobytes(), "slots": slots.astype(np.int32).tobytes(), "dims": dims.astype(np.int32).tobytes(), "impacts": m[slots, dims].astype(np.int64).tobytes(), "rest": rest.tobytes()}
 
 
 def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -92,7 +95,7 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, m in _chunks(batches, block_rows):
-            yield pa.RecordBatch.from_pylist([segments(ids, m)], schema=pa.schema([("ids", pa.binary()), ("dim", pa.int32()), *((c, pa.binary()) for c in ("levels", "slots", "dims", "impacts", "rest", "exact"))]))
+            yield pa.RecordBatch.from_pylist([segments(ids, m)], schema=pa.schema([("dim", pa.int32()), *((c, pa.binary()) for c in _BYTES)]))
 
     return vectors.mapInArrow(build, _BLOCK)
 
@@ -113,19 +116,20 @@ def block_search(q_ids: np.ndarray, q: np.ndarray, block: dict, k: int, floor: d
     floor: by query id, a score that k rows other than the query already reach; it is raised on the way.
     """
     ids = np.frombuffer(block["ids"], np.int64)
-    exact = np.frombuffer(block["exact"], np.int64).reshape(len(ids), -1)
-    dim = max(q.shape[1], exact.shape[1])
+    dim = max(q.shape[1], block["dim"])
     if q.shape[1] < dim:
         q = np.pad(q, ((0, 0), (0, dim - q.shape[1])))
     levels, rest = np.frombuffer(block["levels"], np.int64), np.frombuffer(block["rest"], np.float64).reshape(-1, len(ids))
     slots, dims, impacts = (np.frombuffer(block[c], t) for c, t in (("slots", np.int32), ("dims", np.int32), ("impacts", np.int64)))
+    wide = np.zeros((len(ids), dim), np.int64)
+    wide[slots, dims] = impacts  # the block's rows, exactly
     qf = q.astype(np.float64)
     norms = np.sqrt((qf**2).sum(1))
     own = q_ids[:, None] == ids[None, :] if len(np.intersect1d(q_ids, ids)) else None
     acc = np.zeros((len(q), len(ids)))
     best = np.array([floor.get(int(i), -(1 << 62)) for i in q_ids], np.float64) if floor is not None else np.full(len(q), -float(1 << 62))
     # what rounding in the accumulators can amount to, also where large products cancel
-    rounding = (dim + 16) * np.finfo(np.float64).eps * norms[:, None] * np.sqrt((exact.astype(np.float64) ** 2).sum(1))[None, :]
+    rounding = (dim + 16) * np.finfo(np.float64).eps * norms[:, None] * np.sqrt((wide.astype(np.float64) ** 2).sum(1))[None, :]
     at, possible = 0, None
     for level, end in enumerate(levels):
         segment = np.zeros((len(ids), dim))
@@ -149,8 +153,6 @@ def block_search(q_ids: np.ndarray, q: np.ndarray, block: dict, k: int, floor: d
     if possible is None:  # all components are 0
         possible = np.ones(acc.shape, bool) if own is None else ~own
     row, col = np.nonzero(possible)
-    wide = np.zeros((len(ids), dim), np.int64)
-    wide[:, : exact.shape[1]] = exact
     scores = np.empty(len(row), np.int64)
     # by the Cauchy-Schwarz inequality no sum, nor part of one, leaves 64 bits
     narrow = norms.max(initial=0) * np.sqrt((wide.astype(np.float64) ** 2).sum(1).max(initial=0)) < 2.0**62
@@ -173,28 +175,35 @@ def block_search(q_ids: np.ndarray, q: np.ndarray, block: dict, k: int, floor: d
     return row[keep], ids[col[keep]], scores[keep]
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, shards: int = 64) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, shards: int = 64, groups: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of the index for every query, exactly.
 
-    Posting blocks are dealt over shards; each query block goes to every shard, so that both sides stay in blocks of
-    bounded size whatever the number of queries. Ranks come from the blocks' winners alone.
+    Posting blocks are dealt over shards and query blocks over groups; each group meets each shard in a cell of its own,
+    by a cogroup, which is never broadcast. A task holds one cell, so top_k() lets both numbers grow with the rows.
+    Ranks come from the blocks' winners alone.
     """
-    blocks = index.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
-    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(df: DataFrame, own: str, key: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    blocks = cells(index, "shard", "ids", shards, "group", groups)
+    asked = cells(queries, "group", "q_ids", groups, "shard", shards)
+
+    def run(postings: pa.Table, asked: pa.Table) -> pa.Table:
         floors: dict[int, int] = {}
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                if len(floors) > 1 << 20:
-                    floors.clear()  # only a start value of the proof
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                q = np.frombuffer(row["q_exact"], np.int64).reshape(len(q_ids), -1)
-                at, found, scores = block_search(q_ids, q, row, k, floors)
-                yield pa.RecordBatch.from_pydict({"query_id": q_ids[at], "vec_id": found, "score": scores})
-
-    found = blocks.join(asked, "shard").drop("shard").mapInArrow(run, "query_id long, vec_id long, score long")
+        out = []
+        for r in range(postings.num_rows):
+            block = {c: postings[c][r].as_py() for c in ("dim", *_BYTES)}
+            for s in range(asked.num_rows):
+                ids = np.frombuffer(asked["q_ids"][s].as_py(), np.int64)
+                q = np.frombuffer(asked["q_exact"][s].as_py(), np.int64).reshape(len(ids), -1)
+                for a in range(0, len(ids), STEP_QUERIES):
+                    at, found, scores = block_search(ids[a : a + STEP_QUERIES], q[a : a + STEP_QUERIES], block, k, floors)
+                    out.append((ids[a + at], found, scores))
+        columns = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 3
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns))))
+
+    found = blocks.groupBy("shard", "group").cogroup(asked.groupBy("shard", "group")).applyInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -203,7 +212,8 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     vectors = quantised(df, id_col, vec_col)
     asked = quantised(df.where(is_query), id_col, vec_col)
     blocks = -(-asked.count() // BLOCK_QUERIES)
-    return search(build_index(vectors), query_blocks(asked.coalesce(max(1, blocks))), k)
+    shards = max(64, -(-df.count() // BLOCK_ROWS))
+    return search(build_index(vectors), query_blocks(asked.coalesce(max(1, blocks))), k, shards, max(1, -(-blocks // GROUP_BLOCKS)))
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
