@@ -1,6 +1,8 @@
 """Matrix methods, fits and edge rows against numpy, and the differences between reference and paper forms."""
 
+import hashlib
 import math
+import time
 
 import numpy as np
 import pytest
@@ -178,6 +180,22 @@ def test_mcdropout_reference_can_exceed_one(spark):
     assert paper == pytest.approx(1.0) and ref == pytest.approx(1.2)
 
 
+def test_mcdropout_of_many_classes(spark):
+    d, classes, rng = 128, 40, np.random.default_rng(3)
+    w, b, x = rng.normal(size=(classes, d)), rng.normal(size=classes), rng.normal(size=(8, d))
+    rows = frame(spark, [(i, r.tolist(), w.tolist(), b.tolist()) for i, r in enumerate(x)], "id long, x array<double>, w array<array<double>>, b array<double>")
+    began = time.monotonic()
+    got = {r.id: r.score for r in logits.mcdropout(rows.repartition(2), semantics="paper").select("id", "score").collect()}
+    assert time.monotonic() - began < 10  # masks and logits are computed once a pass, not once for each class and feature
+    for i, r in enumerate(x):
+        p = []
+        for k in range(5):
+            digits = "".join(hashlib.md5(f"drop:{k}:{j}:{i}".encode()).hexdigest() for j in range(d // 32 + 1))
+            z = w @ np.array([2 * v if c >= "8" else 0.0 for v, c in zip(r, digits)]) + b
+            p.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+        assert got[i] == pytest.approx(np.mean(p, axis=0).max())
+
+
 def test_kl_matching_unseen_class_raises(spark):
     df = frame(spark, [(1, [5.0, 0.0])], "id long, z array<double>")
     other = frame(spark, [(1, [0.5, 0.5])], "pred int, q array<double>")

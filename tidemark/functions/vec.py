@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,15 +34,18 @@ def plus(a: Vec, b: Vec) -> Vec:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row: an expression inside a lambda is computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lse(z: Vec) -> Column:
     """log-sum-exp; the largest term is 1, so the logarithm is never of 0."""
-    m = F.array_max(z)
-    return m + F.ln(F.aggregate(z, F.lit(0.0), lambda s, v: s + F.exp(v - m)))
+    return bound(z, lambda z: bound(F.array_max(z), lambda m: m + F.ln(F.aggregate(z, F.lit(0.0), lambda s, v: s + F.exp(v - m)))))
 
 
 def softmax(z: Vec) -> Vec:
-    m = lse(z)
-    return F.transform(z, lambda v: F.exp(v - m))
+    return bound(z, lambda z: bound(lse(z), lambda m: F.transform(z, lambda v: F.exp(v - m))))
 
 
 def argmax(z: Vec) -> Column:

@@ -84,18 +84,18 @@ def mcdropout(df: DataFrame, passes: int = 5, seed: str = "drop", semantics: str
     Masks are md5 bits of (seed, pass, id): half of the features go, the rest doubles. reference: the first pass counts
     twice in the sum, which is still divided by the number of passes; paper: a plain mean.
     """
-    out = df
-    for k in range(passes):
+
+    def one(k: int) -> Column:
         # enough hexadecimal digits for every feature: one more digest for each 32
         digests = F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 32).cast("int")), _digest(seed, k))
-        out = out.withColumn("_d", F.array_join(digests, ""))
-        kept = F.transform("x", lambda v, i: F.when(F.col("_d").substr(i + 1, F.lit(1)) >= "8", v * 2.0).otherwise(0.0))
-        out = out.withColumn(f"_p{k}", vec.softmax(vec.matvec(F.col("w"), kept, F.col("b")))).drop("_d")
+        kept = vec.bound(F.array_join(digests, ""), lambda d: F.transform("x", lambda v, i: F.when(d.substr(i + 1, F.lit(1)) >= "8", v * 2.0).otherwise(0.0)))
+        return vec.softmax(vec.bound(kept, lambda x: vec.matvec(F.col("w"), x, F.col("b"))))
+
     weights = [2.0 if k == 0 and semantics == "reference" else 1.0 for k in range(passes)]
-    mean = vec.scaled(F.col("_p0"), weights[0] / passes)
+    mean = vec.scaled(one(0), weights[0] / passes)
     for k in range(1, passes):
-        mean = vec.plus(mean, vec.scaled(F.col(f"_p{k}"), weights[k] / passes))
-    return out.withColumn("score", F.array_max(mean)).drop(*[f"_p{k}" for k in range(passes)])
+        mean = vec.plus(mean, vec.scaled(one(k), weights[k] / passes))
+    return df.withColumn("score", F.array_max(mean))
 
 
 def igeood_logits(z: Column, centroids: Column, temperature: float = 1.0) -> Column:
