@@ -550,3 +550,30 @@ def test_long_tail_draws_and_hooks(spark, data):
 def test_knn_classify_in_parts(spark, data):
     a, b = (features.knn_classify(probe_rows(spark, data), fit_rows(spark, data), reference_rows=r).orderBy("domain", "id").collect() for r in (1000, 50))
     assert a == b
+
+
+def test_knn_classify_ties_and_bounds(spark, duck, monkeypatch):
+    """Copies of a vector under several labels, beyond k, in whatever part they are: larger labels come first, as in the SQL."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 5))
+    refs = [(i, x[i % 30].tolist(), (i // 30) % 7) for i in range(900)]
+    probes = [(i, 0, r.tolist()) for i, r in enumerate(np.concatenate([x, rng.normal(size=(40, 5))]))]
+    a, b = frame(spark, refs, "id long, x array<double>, label int"), frame(spark, probes, "id long, domain int, x array<double>")
+    u = "list_transform(x, lambda v: v / sqrt(list_dot_product(x, x)))"
+    s = "list_dot_product(p.x, r.u) / sqrt(list_dot_product(p.x, p.x))"
+    pdf, rdf = b.toPandas(), a.toPandas()  # noqa: F841
+    want = duck.sql(f"""WITH rl AS (SELECT id, label, {u} AS u FROM rdf), s AS (SELECT p.id, r.label, {s} AS s FROM pdf p, rl r),
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, label DESC) <= 20), w AS (SELECT id, label, sum(exp(s / 0.07)) AS w FROM k GROUP BY ALL)
+SELECT id, label AS pred FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1""").fetchall()
+    monkeypatch.setattr(features, "QUERY_ROWS", 16)
+    for rows in (1000, 100):
+        assert sorted((r.id, r.pred) for r in features.knn_classify(b, a, reference_rows=rows).collect()) == sorted(want)
+    # 512 x 40,000 cosines (164 MB) are never held at once
+    import tracemalloc
+
+    q, r = rng.normal(size=(512, 4)), rng.normal(size=(40_000, 4))
+    tracemalloc.start()
+    row, _, _ = features._nearest(q, r / np.linalg.norm(r, axis=1, keepdims=True), np.zeros(len(r), np.int32), 20)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(row) == 512 * 20 and most < 120e6

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from tidemark.operators import gram
 
 #: Rows of a reference set that a task holds at once; larger sets are taken part by part.
 REFERENCE_ROWS = 200_000
+#: Rows of df in a cell of knn_classify, and those whose cosines a task holds at once.
+QUERY_ROWS, STEP_ROWS = 16_384, 512
 
 
 def l1norm(x: Column) -> Column:
@@ -140,27 +143,69 @@ def knn(df: DataFrame, refs: DataFrame, method: str = "knn_euclides", k: int = 1
     return found.select(*keys, value.alias("score"))
 
 
-def knn_classify(df: DataFrame, refs: DataFrame, k: int = 20, temperature: float = 0.07, reference_rows: int = REFERENCE_ROWS) -> DataFrame:
-    """(id, domain if there, pred): the label with the most weight exp(cosine / temperature) among the k nearest rows of refs (id, x, label)."""
-    n = refs.count()
-    parts = max(1, -(-n // reference_rows))
-    keys = [c for c in ("id", "domain") if c in df.columns]
-    base, found = df.select(*keys, "x"), None
-    for part in range(parts):
-        got = (refs if parts == 1 else refs.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)).select("x", "label").toArrow()
-        r = _rows_of(got)
-        shared = df.sparkSession.sparkContext.broadcast((r / np.linalg.norm(r, axis=1, keepdims=True), np.asarray(got["label"])))
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of paired rows, summed in the order of the positions, so that equal rows give equal products anywhere."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            unit, label = shared.value
-            for pdf in batches:
-                q = gram.matrix(pdf["x"])
-                s = q / np.linalg.norm(q, axis=1, keepdims=True) @ unit.T if len(q) else np.zeros((0, len(unit)))
-                at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pdf[keys].assign(best=[[{"s": float(s[i, j]), "label": int(label[j])} for j in row] for i, row in enumerate(at)])
 
-        got = base.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in base.dtypes if c != "x") + ", best array<struct<s:double,label:int>>")
-        found = got if found is None else found.unionByName(got)
+def _nearest(q: np.ndarray, refs: np.ndarray, label: np.ndarray, k: int, block: int = 8192, pairs: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, cosine, label) of each row's k nearest unit rows in refs: the larger cosine first, then the larger label; NaN is largest.
+
+    A matrix product finds the rows that may be among them; their cosines are then summed in a fixed order.
+    """
+    norms = np.sqrt(_dots(q, q))
+    row, s, lab = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, label.dtype)
+    bound = np.full(len(q), -np.inf)  # a cosine that k rows reach
+    for a in range(0, len(refs), block):
+        part = refs[a : a + block]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            near = q @ part.T / norms[:, None]
+        near[np.isnan(near)] = np.inf
+        if len(part) > k:
+            bound = np.maximum(bound, np.partition(near, -k, axis=1)[:, -k])
+        at, col = np.nonzero(near >= bound[:, None] - 1e-9)
+        for c in range(0, len(at), pairs):
+            r, j = at[c : c + pairs], col[c : c + pairs]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                row, s, lab = np.concatenate([row, r]), np.concatenate([s, _dots(q[r], part[j]) / norms[r]]), np.concatenate([lab, label[a + j]])
+            order = np.lexsort((-lab.astype(np.int64), -np.where(np.isnan(s), np.inf, s), row))
+            row, s, lab = row[order], s[order], lab[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, s, lab = row[keep], s[keep], lab[keep]
+    return row, s, lab
+
+
+def knn_classify(df: DataFrame, refs: DataFrame, k: int = 20, temperature: float = 0.07, reference_rows: int = REFERENCE_ROWS) -> DataFrame:
+    """(id, domain if there, pred): the label with the most weight exp(cosine / temperature) among the k nearest rows of refs (id, x, label).
+
+    Of equally near rows those of larger labels count first. Parts of refs and of df meet in cells on the executors, about
+    `reference_rows` by QUERY_ROWS rows each; nothing passes through the driver.
+    """
+    keys = [c for c in ("id", "domain") if c in df.columns]
+    parts, groups = max(1, -(-refs.count() // reference_rows)), max(1, -(-df.count() // QUERY_ROWS))
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    held = refs.select("x", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_part"), every(groups).alias("_group"))
+    asked = df.select(*keys, "x", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("_group"), every(parts).alias("_part"))
+
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
+        r, q, label = _rows_of(held), _rows_of(asked), np.asarray(held["label"].combine_chunks(), np.int32)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            unit = r / np.sqrt(_dots(r, r))[:, None]
+        found = [_nearest(q[a : a + STEP_ROWS], unit, label, k) for a in range(0, len(q) if len(r) else 0, STEP_ROWS)]
+        counts = [np.bincount(row, minlength=min(STEP_ROWS, len(q) - i * STEP_ROWS)) for i, (row, _, _) in enumerate(found)]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if found else np.zeros(len(q) + 1)
+        s, lab = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in (1, 2))
+        best = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays([pa.array(s), pa.array(lab.astype(np.int32))], ["s", "label"]))
+        return asked.select(keys).append_column("best", best)
+
+    schema = ", ".join(f"{c} {t}" for c, t in df.select(*keys).dtypes) + ", best array<struct<s:double,label:int>>"
+    found = held.groupBy("_part", "_group").cogroup(asked.groupBy("_part", "_group")).applyInArrow(run, schema)
     votes = found.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best")).select(*keys, F.explode("best").alias("b"))
     weights = votes.groupBy(*keys, F.col("b.label").alias("label")).agg(F.sum(F.exp(F.col("b.s") / temperature)).alias("w"))
     return weights.groupBy(*keys).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("pred"))
