@@ -6,6 +6,8 @@ state's size is the window's, however long the stream runs. Windows drop the row
 
 from __future__ import annotations
 
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -45,37 +47,36 @@ def session_scores(events: DataFrame, gap: str = "2 hours", late: str = "1 hour"
 class Monitor(StatefulProcessor):
     """For each key: moving average of `win` values, padded by the warm-up mean, exponential average and mistake rate.
 
-    The first `warmup` rows of a key only fill the warm-up mean and give no output.
+    The first `warmup` rows of a key only fill the warm-up mean and give no output. A micro-batch's rows of a key are taken
+    in the order of (ts, event_id), in however many pieces they come.
     """
 
-    schema = "user_id long, ts timestamp, ma double, ema double, mistakes double"
+    schema = "user_id long, ts timestamp, event_id long, ma double, ema double, mistakes double"
 
     def __init__(self, win: int = 20, warmup: int = 5, alpha: float = 0.99):
         self.win, self.warmup, self.alpha = win, warmup, alpha
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getValueState("ring", "scores array<double>, wrong array<double>")
-        self.moments = handle.getValueState("moments", "n long, warm double, ema double")
+        self.state = handle.getValueState("state", "n long, warm double, ema double, scores array<double>, wrong array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.moments.get() if self.moments.exists() else (0, 0.0, 0.0)
+        state = self.state.get() or (0, 0.0, 0.0, [], [])
         n, warm, ema = int(state[0]), float(state[1]), float(state[2])
-        ring = self.ring.get() if self.ring.exists() else ([], [])
-        scores, wrong = list(ring[0]), list(ring[1])
+        scores, wrong = deque(state[3], self.win), deque(state[4], self.win)
         out = []
-        for pdf in rows:
-            for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-                n += 1
-                if n <= self.warmup:
-                    warm += (float(r.value) - warm) / n
-                    ema = warm
-                    continue
-                scores, wrong = [*scores, float(r.value)][-self.win :], [*wrong, float(r.event_type == "error")][-self.win :]
-                ema = self.alpha * ema + (1 - self.alpha) * float(r.value)
-                out.append((key[0], r.ts, (sum(scores) + (self.win - len(scores)) * warm) / self.win, ema, sum(wrong) / self.win))
-        self.moments.update((n, warm, ema))
-        self.ring.update((scores, wrong))
-        yield pd.DataFrame(out, columns=["user_id", "ts", "ma", "ema", "mistakes"])
+        pdf = pd.concat([r[["ts", "event_id", "value", "event_type"]] for r in rows]).sort_values(["ts", "event_id"])
+        for ts, event, value, kind in zip(pdf["ts"], pdf["event_id"].tolist(), pdf["value"].tolist(), pdf["event_type"]):
+            n += 1
+            if n <= self.warmup:
+                warm += (float(value) - warm) / n
+                ema = warm
+                continue
+            scores.append(float(value))
+            wrong.append(float(kind == "error"))
+            ema = self.alpha * ema + (1 - self.alpha) * float(value)
+            out.append((key[0], ts, event, (sum(scores) + (self.win - len(scores)) * warm) / self.win, ema, sum(wrong) / self.win))
+        self.state.update((n, warm, ema, list(scores), list(wrong)))
+        yield pd.DataFrame(out, columns=["user_id", "ts", "event_id", "ma", "ema", "mistakes"])
 
     def close(self) -> None:
         pass
@@ -89,16 +90,22 @@ def monitor(events: DataFrame, **options) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives its result as a table: for checks and small reports."""
+    """Runs a stream over what is there and gives its result as a table.
+
+    Rows of an append-mode stream go to Parquet files in the shared folder, however many there are; the aggregates of the other
+    modes, a row for each window and group, to memory.
+    """
     spark = stream.sparkSession
+    if mode == "append":
+        path = _checkpoint(spark, f"{name}-rows")
+        parquet_sink(stream, path, _checkpoint(spark, name)).awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", _checkpoint(spark, name)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
 
 def _checkpoint(spark: SparkSession, name: str) -> str:
-    import uuid
-
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -118,7 +125,7 @@ def _sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(monitor(event_stream(spark, sf_dir)), "stream_monitor", "append").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max_by("ma", "ts"), 6).alias("ma"))
+    return drained(monitor(event_stream(spark, sf_dir)), "stream_monitor", "append").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max_by("ma", F.struct("ts", "event_id")), 6).alias("ma"))
 
 
 QUERIES |= {"stream_tumbling": _tumbling, "stream_sliding": _sliding, "stream_monitor": _monitor}
