@@ -486,6 +486,22 @@ def test_jaccard_brute_force(spark, seed, n, num, bits, pair_prefix):
     assert got == jaccard_brute(texts, n, num, 100)
 
 
+def test_jaccard_memory_is_bounded(spark, monkeypatch):
+    import tracemalloc
+
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{i * j % 997}" for j in range(2000)) for i in range(1, 401)]})
+    tracemalloc.start()
+    assert sum(1 for _ in jaccard_join.row_shingles(batch, 5)) == 400
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # for 4 MB of text
+    key, seen, run = "spark.sql.execution.arrow.maxRecordsPerBatch", [], jaccard_join.class_components
+    before = spark.conf.get(key)
+    monkeypatch.setattr(jaccard_join, "class_components", lambda docs, *a: (seen.append(spark.conf.get(key)), run(docs, *a))[1])
+    assert jaccard_join.jaccard_groups(documents(spark, ["a b c d e f", "x"]), 5, 80, 100).count() == 2
+    assert seen == ["1000"] and spark.conf.get(key) == before
+
+
 def test_jaccard_edge_rows(spark):
     got = jaccard_join.jaccard_groups(edge(spark), 5, 80, 100).toPandas()
     assert len(got) == len(EDGE) + 1

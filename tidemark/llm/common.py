@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """For the jobs run inside, Arrow batches of at most `rows` rows: each holds its texts in the JVM and in Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows whose labels are never learned from: crc32(doc_id as text) mod 4 is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -193,7 +206,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> Iterator[np.ndarr
 
 
 def row_shingles(batch: pa.RecordBatch, n: int, column: str = "text") -> Iterator[np.ndarray]:
-    """shingles() of every row of a batch."""
-    for _, _, data, offsets in text_blocks(batch, column):
+    """shingles() of every row of a batch, in blocks of 512 KB of text: hashing takes some thirty bytes for each."""
+    for _, _, data, offsets in text_blocks(batch, column, 1 << 19):
         starts, ends, first = words(data, offsets)
         yield from shingles(word_hashes(data, starts, ends), first, n)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import mix64, row_shingles, shared_dir, stored, table
+from tidemark.llm.common import mix64, row_shingles, shared_dir, small_batches, stored, table
 from tidemark.llm.components import components
 
 SKETCH_BITS, CHUNK_BITS = 24, 18
@@ -251,8 +251,9 @@ def class_components(docs: DataFrame, classes: DataFrame, n: int, num: int, den:
 
 def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int = SKETCH_BITS, pair_prefix: int = PAIR_PREFIX) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the least doc_id that links of similarity num/den or more reach."""
-    classes = stored(set_classes(docs, n))
-    linked = class_components(docs, classes, n, num, den, bits, pair_prefix)
+    with small_batches(docs.sparkSession):  # all that takes texts runs in here
+        classes = stored(set_classes(docs, n))
+        linked = class_components(docs, classes, n, num, den, bits, pair_prefix)
     least = classes.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("low")).join(linked, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     whole = least.groupBy("component").agg(F.min("low").alias("component_id"))
     names = least.join(whole, "component").select("sid", "component_id")
