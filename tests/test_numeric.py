@@ -577,3 +577,33 @@ SELECT id, label AS pred FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(row) == 512 * 20 and most < 120e6
+
+
+def test_knn_classify_cells_are_small(spark, data, monkeypatch):
+    """Tasks get cells of bounded size, as many as keep the cores busy; rows of zeros and of tiny or huge numbers keep their exact cosines."""
+    seen = spark.sparkContext.accumulator(0)
+    whole = features._nearest
+
+    def watched(q, refs, label, k, *rest):
+        assert len(refs) <= features.CELL_ROWS
+        seen.add(1)
+        return whole(q, refs, label, k, *rest)
+
+    monkeypatch.setattr(features, "_nearest", watched)
+    monkeypatch.setattr(features, "LEAST_ROWS", 20)
+    assert features.knn_classify.__defaults__[-1] <= features.CELL_ROWS <= 65_536
+    cells = features.knn_classify(probe_rows(spark, data), fit_rows(spark, data))
+    assert cells.orderBy("domain", "id").collect() and seen.value >= 12
+    rng = np.random.default_rng(2)
+    q, r = rng.normal(size=(64, 6)), rng.normal(size=(5000, 6))
+    r[::50] = r[7]
+    q[0], q[1], q[2], q[3, 1], q[4] = 0, q[1] * 1e-170, q[2] * 1e170, np.nan, r[7] * 3
+    with np.errstate(all="ignore"):
+        unit, label = r / np.sqrt(features._dots(r, r))[:, None], rng.integers(0, 5, len(r)).astype(np.int32)
+        unit[99], unit[100] = np.nan, 0
+        row, s, lab = whole(q, unit, label, 20, block=512, pairs=1000)
+        for i, v in enumerate(q):
+            all_s = features._dots(np.broadcast_to(v, unit.shape), unit) / np.sqrt(features._dots(v[None], v[None]))
+            best = np.lexsort((-label.astype(int), -np.where(np.isnan(all_s), np.inf, all_s)))[:20]
+            np.testing.assert_array_equal(s[row == i], all_s[best])
+            assert lab[row == i].tolist() == label[best].tolist()

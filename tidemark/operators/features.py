@@ -20,8 +20,10 @@ from tidemark.operators import gram
 
 #: Rows of a reference set that a task holds at once; larger sets are taken part by part.
 REFERENCE_ROWS = 200_000
-#: Rows of df in a cell of knn_classify, and those whose cosines a task holds at once.
-QUERY_ROWS, STEP_ROWS = 16_384, 512
+#: Rows of refs and of df, at most, in a cell of knn_classify (about 35 MB each at 64 dimensions), and those whose cosines a task holds at once.
+CELL_ROWS, QUERY_ROWS, STEP_ROWS = 65_536, 65_536, 512
+#: Cells that knn_classify makes, unless they would get fewer rows of df than LEAST_ROWS.
+CELLS, LEAST_ROWS = 24, 8_192
 
 
 def l1norm(x: Column) -> Column:
@@ -151,53 +153,80 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest(q: np.ndarray, refs: np.ndarray, label: np.ndarray, k: int, block: int = 8192, pairs: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _single(unit: np.ndarray) -> np.ndarray:
+    """Unit rows in single precision; rows that are not of length 1 (of zeros, NaN or beyond the range of squares) are NaN."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        out = unit.astype(np.float32)
+        out[~(np.abs(np.einsum("ij,ij->i", unit, unit) - 1) < 1e-9)] = np.nan
+    return out
+
+
+def _nearest(q: np.ndarray, refs: np.ndarray, label: np.ndarray, k: int, single: np.ndarray | None = None, block: int = 8192, pairs: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, cosine, label) of each row's k nearest unit rows in refs: the larger cosine first, then the larger label; NaN is largest.
 
-    A matrix product finds the rows that may be among them; their cosines are then summed in a fixed order.
+    A matrix product in single precision leaves out the rows that are surely beyond the k nearest found so far; the
+    cosines of the others are summed in a fixed order. single: _single(refs), if it is there already.
     """
     norms = np.sqrt(_dots(q, q))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        fast = _single(q / norms[:, None])
+    single = _single(refs) if single is None else single
+    # of a product: d roundings of sums and 3 of terms, each of 2^-24 of at most 1, and twice that to be sure
+    slack = np.float32((q.shape[1] + 4) * 2.0**-23)
     row, s, lab = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, label.dtype)
     bound = np.full(len(q), -np.inf)  # a cosine that k rows reach
-    for a in range(0, len(refs), block):
-        part = refs[a : a + block]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            near = q @ part.T / norms[:, None]
-        near[np.isnan(near)] = np.inf
-        if len(part) > k:
-            bound = np.maximum(bound, np.partition(near, -k, axis=1)[:, -k])
-        at, col = np.nonzero(near >= bound[:, None] - 1e-9)
-        for c in range(0, len(at), pairs):
-            r, j = at[c : c + pairs], col[c : c + pairs]
+    a, size = 0, block // 8
+    while a < len(refs):
+        part = refs[a : a + size]
+        near = fast @ single[a : a + size].T
+        beyond = near < (bound - 2 * slack).astype(np.float32)[:, None]  # never true of NaN
+        if beyond.size - np.count_nonzero(beyond) > 8 * k * len(q) and len(part) > k:
+            least = np.partition(np.where(np.isnan(near), np.float32(np.inf), near), -k, axis=1)[:, -k]
+            bound = np.maximum(bound, np.where(np.isinf(least), -np.inf, least.astype(np.float64) - slack))
+            beyond = near < (bound - 2 * slack).astype(np.float32)[:, None]
+        found = np.flatnonzero(~beyond)
+        for c in range(0, len(found), pairs):
+            r, j = np.divmod(found[c : c + pairs], len(part))
             with np.errstate(invalid="ignore", divide="ignore"):
                 row, s, lab = np.concatenate([row, r]), np.concatenate([s, _dots(q[r], part[j]) / norms[r]]), np.concatenate([lab, label[a + j]])
             order = np.lexsort((-lab.astype(np.int64), -np.where(np.isnan(s), np.inf, s), row))
             row, s, lab = row[order], s[order], lab[order]
             keep = np.arange(len(row)) - np.searchsorted(row, row) < k
             row, s, lab = row[keep], s[keep], lab[keep]
+        last = np.arange(len(row)) - np.searchsorted(row, row) == k - 1
+        bound[row[last]] = np.fmax(bound[row[last]], s[last])
+        a, size = a + size, min(block, 2 * size)
     return row, s, lab
 
 
-def knn_classify(df: DataFrame, refs: DataFrame, k: int = 20, temperature: float = 0.07, reference_rows: int = REFERENCE_ROWS) -> DataFrame:
+def knn_classify(df: DataFrame, refs: DataFrame, k: int = 20, temperature: float = 0.07, reference_rows: int = CELL_ROWS) -> DataFrame:
     """(id, domain if there, pred): the label with the most weight exp(cosine / temperature) among the k nearest rows of refs (id, x, label).
 
     Of equally near rows those of larger labels count first. Parts of refs and of df meet in cells on the executors, about
-    `reference_rows` by QUERY_ROWS rows each; nothing passes through the driver.
+    `reference_rows` by QUERY_ROWS rows each at most; nothing passes through the driver.
     """
     keys = [c for c in ("id", "domain") if c in df.columns]
-    parts, groups = max(1, -(-refs.count() // reference_rows)), max(1, -(-df.count() // QUERY_ROWS))
+    parts, n = max(1, -(-refs.count() // reference_rows)), df.count()
+    groups = max(1, -(-n // QUERY_ROWS), min(-(-CELLS // parts), n // LEAST_ROWS))
+
+    def cell(part, group):
+        return (part * groups + group).cast("int").alias("_cell")
 
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    held = refs.select("x", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_part"), every(groups).alias("_group"))
-    asked = df.select(*keys, "x", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("_group"), every(parts).alias("_part"))
+    held = refs.select("x", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("_part"), every(groups).alias("_group"))
+    asked = df.select(*keys, "x", F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("_group"), every(parts).alias("_part"))
+    # more partitions than cells, so that few of them share a task
+    held, asked = (rows.select(*[c for c in rows.columns if c not in ("_part", "_group")], cell(F.col("_part"), F.col("_group"))).repartition(2 * parts * groups, "_cell") for rows in (held, asked))
 
     def run(held: pa.Table, asked: pa.Table) -> pa.Table:
         r, q, label = _rows_of(held), _rows_of(asked), np.asarray(held["label"].combine_chunks(), np.int32)
         with np.errstate(invalid="ignore", divide="ignore"):
             unit = r / np.sqrt(_dots(r, r))[:, None]
-        found = [_nearest(q[a : a + STEP_ROWS], unit, label, k) for a in range(0, len(q) if len(r) else 0, STEP_ROWS)]
+        del held, r
+        single = _single(unit)
+        found = [_nearest(q[a : a + STEP_ROWS], unit, label, k, single) for a in range(0, len(q) if len(unit) else 0, STEP_ROWS)]
         counts = [np.bincount(row, minlength=min(STEP_ROWS, len(q) - i * STEP_ROWS)) for i, (row, _, _) in enumerate(found)]
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if found else np.zeros(len(q) + 1)
         s, lab = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in (1, 2))
@@ -205,7 +234,7 @@ def knn_classify(df: DataFrame, refs: DataFrame, k: int = 20, temperature: float
         return asked.select(keys).append_column("best", best)
 
     schema = ", ".join(f"{c} {t}" for c, t in df.select(*keys).dtypes) + ", best array<struct<s:double,label:int>>"
-    found = held.groupBy("_part", "_group").cogroup(asked.groupBy("_part", "_group")).applyInArrow(run, schema)
+    found = held.groupBy("_cell").cogroup(asked.groupBy("_cell")).applyInArrow(run, schema)
     votes = found.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best")).select(*keys, F.explode("best").alias("b"))
     weights = votes.groupBy(*keys, F.col("b.label").alias("label")).agg(F.sum(F.exp(F.col("b.s") / temperature)).alias("w"))
     return weights.groupBy(*keys).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("pred"))
