@@ -196,6 +196,29 @@ def test_mcdropout_of_many_classes(spark):
         assert got[i] == pytest.approx(np.mean(p, axis=0).max())
 
 
+def test_mcdropout_of_one_head_by_batch(spark):
+    """A head for all rows gives the scores of the same head in each row, odd rows too; its passes don't take Spark's lambdas."""
+    nan, inf = float("nan"), float("inf")
+    rng = np.random.default_rng(4)
+    for d in (5, 70):
+        w, b = rng.normal(size=(3, d)).tolist(), rng.normal(size=3).tolist()
+        x = [r.tolist() for r in rng.normal(size=(40, d))]
+        x[1], x[2], x[3], x[4], x[5] = None, [], [1.0] * (d + 1), [None, *x[4][1:]], [nan, *x[5][1:]]
+        x[6], x[7], x[8] = [inf, *x[6][1:]], [None] * d, [v * 1e200 for v in x[8]]
+        ids = [None if i == 20 else i for i in range(len(x))]
+        kinds = "w array<array<double>>, b array<double>"
+        rows = frame(spark, [(n, i, v) for n, (i, v) in enumerate(zip(ids, x))], "n int, id long, x array<double>").repartition(3)
+        odd = [([], []), ([[*w[0][:-1], None], *w[1:]], b), (w, b[:-1])]
+        for head, semantics in [((w, b), "reference"), ((w, b), "paper"), *((h, "paper") for h in odd[: 3 if d == 5 else 0])]:
+            one = frame(spark, [head], kinds)
+            got = {r.n: r.score for r in logits.mcdropout(rows, semantics=semantics, head=one).collect()}
+            want = {r.n: r.score for r in logits.mcdropout(rows.crossJoin(one), semantics=semantics).collect()}
+            assert len(got) == len(x) and got == pytest.approx(want, nan_ok=True)
+            assert {n for n in got if got[n] is None} == {n for n in want if want[n] is None}
+    plan = logits.mcdropout(rows, head=frame(spark, [(w, b)], kinds))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate" not in plan
+
+
 def test_kl_matching_unseen_class_raises(spark):
     df = frame(spark, [(1, [5.0, 0.0])], "id long, z array<double>")
     other = frame(spark, [(1, [0.5, 0.5])], "pred int, q array<double>")

@@ -1,11 +1,17 @@
 """Confidence scores from logits: stateless projections, and two with fitted class parameters.
 
-Every score is a native column expression of the logits `z` (and, where a linear head is perturbed, of `x` and `w`).
+Every score is a native column expression of the logits `z` (and, where a linear head is perturbed, of `x` and `w`);
+dropout passes over rows of one head are numpy on Arrow batches.
 Higher means more in distribution, but for `entropy`, whose sign is kept as its definition has it.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,12 +84,16 @@ def _digest(seed: str, k: int):
     return lambda j: F.md5(F.concat_ws(":", F.lit(seed), F.lit(str(k)), j.cast("string"), F.col("id").cast("string")).cast("binary"))
 
 
-def mcdropout(df: DataFrame, passes: int = 5, seed: str = "drop", semantics: str = "reference") -> DataFrame:
+def mcdropout(df: DataFrame, passes: int = 5, seed: str = "drop", semantics: str = "reference", head: DataFrame | None = None) -> DataFrame:
     """df with `score`: softmax averaged over dropout passes of the features, then its maximum.
 
     Masks are md5 bits of (seed, pass, id): half of the features go, the rest doubles. reference: the first pass counts
-    twice in the sum, which is still divided by the number of passes; paper: a plain mean.
+    twice in the sum, which is still divided by the number of passes; paper: a plain mean. head: one row (w, b) for all
+    rows, which are then scored as matrix products on Arrow batches; without it w and b are columns, of each row its own.
     """
+    weights = [2.0 if k == 0 and semantics == "reference" else 1.0 for k in range(passes)]
+    if head is not None:
+        return df.withColumn("score", _mcdropout_by_batch(head, weights, seed)(F.col("id").cast("string"), F.col("x")))
 
     def one(k: int) -> Column:
         # enough hexadecimal digits for every feature: one more digest for each 32
@@ -91,13 +101,52 @@ def mcdropout(df: DataFrame, passes: int = 5, seed: str = "drop", semantics: str
         kept = vec.bound(F.array_join(digests, ""), lambda d: F.transform("x", lambda v, i: F.when(d.substr(i + 1, F.lit(1)) >= "8", v * 2.0).otherwise(0.0)))
         return vec.softmax(vec.bound(kept, lambda x: vec.matvec(F.col("w"), x, F.col("b"))))
 
-    weights = [2.0 if k == 0 and semantics == "reference" else 1.0 for k in range(passes)]
     mean = vec.scaled(one(0), weights[0] / passes)
     for k in range(1, passes):
         mean = vec.plus(mean, vec.scaled(one(k), weights[k] / passes))
     return df.withColumn("score", F.array_max(mean))
 
 
+def _mcdropout_by_batch(head: DataFrame, weights: list[float], seed: str, step: int = 1 << 18):
+    """A function of (id as string, x): the score, or null where x, the head or a feature that a pass keeps is null, or x has another length."""
+    first = head.select("w", "b").first()
+    w, b = (first.w, first.b) if first else (None, None)
+    whole = bool(w) and b is not None and len(b) == len(w) and None not in b and all(r is not None and len(r) == len(w[0]) > 0 and None not in r for r in w)
+    shared = head.sparkSession.sparkContext.broadcast((np.array(w, np.float64), np.array(b, np.float64)) if whole else None)
+
+    def masks(names: list[str], k: int, d: int) -> np.ndarray:
+        """Whether the hexadecimal digit of each feature is 8 at least."""
+        digests = b"".join(hashlib.md5(f"{seed}:{k}:{j}{n}".encode(), usedforsecurity=False).digest() for n in names for j in range(-(-d // 32)))
+        return np.unpackbits(np.frombuffer(digests, np.uint8).reshape(len(names), -1), axis=1)[:, ::4][:, :d].astype(bool)
+
+    def scores(ids: pa.Array, x: pa.Array) -> pa.Array:
+        out, null = np.zeros(len(x)), np.ones(len(x), bool)
+        if shared.value is not None and len(x):
+            w, b = shared.value
+            d = w.shape[1]
+            at = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(pc.list_value_length(x), d), False)))
+            names = ["" if n is None else f":{n}" for n in ids.take(pa.array(at)).to_pylist()]  # as concat_ws, which leaves out nulls
+            for a in range(0, len(at), max(1, step // d)):
+                i = at[a : a + max(1, step // d)]
+                flat = x.take(pa.array(i)).flatten()
+                missing = np.asarray(flat.is_null()).reshape(-1, d) if flat.null_count else None
+                rows, mean, lost = np.asarray(flat, np.float64).reshape(-1, d), 0.0, np.zeros(len(i), bool)
+                for k, weight in enumerate(weights):
+                    on = masks(names[a : a + len(i)], k, d)
+                    if missing is not None:
+                        lost |= (missing & on).any(axis=1)
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        z = np.where(on, rows * 2.0, 0.0) @ w.T + b
+                        z -= z.max(axis=1, keepdims=True)
+                        p = np.exp(z)
+                        mean = mean + p / p.sum(axis=1, keepdims=True) * (weight / len(weights))
+                out[i], null[i] = mean.max(axis=1), lost
+        return pa.array(out, pa.float64(), mask=null)
+
+    scores.__annotations__ = {"ids": pa.Array, "x": pa.Array, "return": pa.Array}  # the types themselves, not their names
+    return F.arrow_udf(scores, "double")
+
+
 def igeood_logits(z: Column, centroids: Column, temperature: float = 1.0) -> Column:
     """Mean Fisher-Rao distance of the softmax to those of the class-mean logits."""
     p = vec.softmax(vec.scaled(z, 1.0 / temperature))

@@ -124,7 +124,8 @@ query("score_doctor_eps", _perturbed_sql(_DIRECTION.format(f"list_transform({_P}
 
 @query("score_mcdropout")
 def _mcdropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logits.mcdropout(_logit_rows(spark, sf_dir)).select("id", "domain", r6(F.col("score")))
+    head = head_of(class_means(fit_rows(spark, sf_dir)))
+    return logits.mcdropout(probe_rows(spark, sf_dir), head=head).select("id", "domain", r6(F.col("score")))
 
 
 @query(
